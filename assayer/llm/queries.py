@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from assayer.llm import sql
+from assayer.llm.decontaminate import decontaminate
 from assayer.llm.quality import RULES, plan_cascade, quality_report
 
 
@@ -14,12 +16,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    spans = F.array_join(F.transform("spans", lambda x: F.concat(x["start"], F.lit(":"), x["stop"])), ",")
+    return found.withColumn("spans", spans).drop("items")
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_report(docs, plan_cascade(docs, RULES))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_decontamination": op1_decontamination,
     "op7_quality_rules": op7_quality_rules,
 }
 
