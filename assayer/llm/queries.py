@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assayer.llm import sql
 from assayer.llm.decontaminate import decontaminate
 from assayer.llm.quality import RULES, plan_cascade, quality_report
+from assayer.llm.sharding import balanced_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -27,9 +28,15 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(docs, plan_cascade(docs, RULES))
 
 
+def op9_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = balanced_shards(_table(spark, sf_dir, "documents"), 40)
+    return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op7_quality_rules": op7_quality_rules,
+    "op9_sampled_splitter_shards": op9_sampled_splitter_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
