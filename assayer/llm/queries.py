@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from assayer.llm import sql
 from assayer.llm.decontaminate import decontaminate
+from assayer.llm.packing import pack
 from assayer.llm.quality import RULES, plan_cascade, quality_report
 from assayer.llm.sharding import balanced_shards
 
@@ -23,6 +24,12 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("spans", spans).drop("items")
 
 
+def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_report(docs, plan_cascade(docs, RULES))
@@ -35,6 +42,7 @@ def op9_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op3_mixture_packing": op3_mixture_packing,
     "op7_quality_rules": op7_quality_rules,
     "op9_sampled_splitter_shards": op9_sampled_splitter_shards,
 }
