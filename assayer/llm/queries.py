@@ -11,6 +11,7 @@ from assayer.llm import sql
 from assayer.llm.decontaminate import decontaminate
 from assayer.llm.packing import pack
 from assayer.llm.quality import RULES, plan_cascade, quality_report
+from assayer.llm.setjoin import jaccard_classes
 from assayer.llm.sharding import balanced_shards
 
 
@@ -24,6 +25,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("spans", spans).drop("items")
 
 
+def op2_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_classes(_table(spark, sf_dir, "documents"))
+
+
 def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,6 +47,7 @@ def op9_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_mixture_packing": op3_mixture_packing,
     "op7_quality_rules": op7_quality_rules,
     "op9_sampled_splitter_shards": op9_sampled_splitter_shards,
