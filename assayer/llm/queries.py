@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assayer.llm import sql
 from assayer.llm.decontaminate import decontaminate
 from assayer.llm.packing import pack
+from assayer.llm.pii import personal_data, span_report
 from assayer.llm.quality import RULES, plan_cascade, quality_report
 from assayer.llm.setjoin import jaccard_classes
 from assayer.llm.sharding import balanced_shards
@@ -35,6 +36,10 @@ def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_report(personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return quality_report(docs, plan_cascade(docs, RULES))
@@ -49,6 +54,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_mixture_packing": op3_mixture_packing,
+    "op6_personal_data": op6_personal_data,
     "op7_quality_rules": op7_quality_rules,
     "op9_sampled_splitter_shards": op9_sampled_splitter_shards,
 }
