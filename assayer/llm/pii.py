@@ -74,8 +74,8 @@ def _valid(kind: str, value: Column) -> Column:
     return F.lit(True)
 
 
-def find(text: Column, pattern: str, kind: str, base: bool, window: int = 40) -> Column:
-    """All matches as structs; starts are running sums of the lengths between matches."""
+def match_spans(text: Column, pattern: str) -> Column:
+    """All matches (start, stop, value) of a pattern; starts are running sums of the lengths between matches."""
     parts, matches = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     empty = F.array().cast("array<struct<start:int,stop:int,value:string>>")
     start = F.struct(F.lit(0).alias("at"), empty.alias("out"))
@@ -85,9 +85,13 @@ def find(text: Column, pattern: str, kind: str, base: bool, window: int = 40) ->
         return F.struct((s + F.length(x["m"])).alias("at"), F.concat(acc["out"], F.array(F.struct(s.alias("start"), (s + F.length(x["m"])).alias("stop"), x["m"].alias("value")))).alias("out"))
 
     zipped = F.zip_with(F.slice(parts, F.lit(1), F.size(matches)), matches, lambda p, m: F.struct(p.alias("p"), m.alias("m")))
-    found = F.aggregate(zipped, start, step, lambda acc: acc["out"])
+    return F.aggregate(zipped, start, step, lambda acc: acc["out"])
+
+
+def find(text: Column, pattern: str, kind: str, base: bool, window: int = 40) -> Column:
+    """All matches as candidates of ``kind`` with what stands before and after them."""
     return F.transform(
-        found,
+        match_spans(text, pattern),
         lambda m: F.struct(
             F.lit(kind).alias("kind"), F.lit(KINDS.index(kind)).alias("rank"), m["start"].alias("start"), m["stop"].alias("stop"), m["value"].alias("value"),
             (F.lit(base) & _valid(kind, m["value"])).alias("base"),

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 
 from assayer.llm import sql
 from assayer.llm.decontaminate import decontaminate
+from assayer.llm.licenses import license_scan
 from assayer.llm.packing import pack
 from assayer.llm.pii import personal_data, span_report
 from assayer.llm.quality import RULES, plan_cascade, quality_report
+from assayer.llm.secrets import secret_findings
 from assayer.llm.setjoin import jaccard_classes
 from assayer.llm.sharding import balanced_shards
 
@@ -36,6 +38,14 @@ def op3_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op4_license_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_findings(_table(spark, sf_dir, "documents"))
+
+
 def op6_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return span_report(personal_data(_table(spark, sf_dir, "documents")))
 
@@ -54,11 +64,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
     "op3_mixture_packing": op3_mixture_packing,
+    "op4_license_sentences": op4_license_sentences,
+    "op5_secret_forest": op5_secret_forest,
     "op6_personal_data": op6_personal_data,
     "op7_quality_rules": op7_quality_rules,
     "op9_sampled_splitter_shards": op9_sampled_splitter_shards,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_license_sentences": sql.license_sentences(),
     "op7_quality_rules": sql.QUALITY_RULES,
 }

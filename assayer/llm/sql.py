@@ -25,3 +25,33 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     OR 100 * letters < 60 * word_chars) AS kept
 FROM b
 """
+
+
+def license_sentences() -> str:
+    """Sentence identifiers by a CASE chain, then one step a rule over the identifier sequences."""
+    from assayer.llm.licenses import ANCHOR, RULES, SENTENCES
+
+    chain = " ".join(f"WHEN regexp_full_match(sentence, '{p}') THEN '{n}'" for n, p in SENTENCES)
+    steps, last = [], "r0"
+    for i, (name, pattern) in enumerate(RULES, 1):
+        steps.append(
+            f"r{i} AS (SELECT doc_id, ids, regexp_replace(rest, '{pattern}', ';', 'g') AS rest, "
+            f"CASE WHEN regexp_matches(rest, '{pattern}') AND NOT list_contains(found, '{name}') THEN list_append(found, '{name}') ELSE found END AS found FROM {last})"
+        )
+        last = f"r{i}"
+    return rf"""
+WITH d AS (SELECT row_number() OVER () AS nr, doc_id, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+c AS (SELECT * FROM d WHERE regexp_matches(t, '{ANCHOR}')),
+p AS (SELECT nr, doc_id, string_split(regexp_replace(t, '([.!?])[\x20\t\r]+', '\1' || chr(10), 'g'), chr(10)) AS parts FROM c),
+u AS (SELECT nr, doc_id, unnest(parts) AS raw, unnest(generate_series(1, len(parts))) AS nth FROM p),
+n AS (SELECT nr, doc_id, nth, trim(regexp_replace(raw, '[^a-z0-9]+', ' ', 'g')) AS sentence FROM u),
+i AS (SELECT nr, doc_id, nth, CASE WHEN NOT regexp_matches(sentence, '{ANCHOR}') THEN '' {chain} ELSE 'unknown' END AS id FROM n),
+g AS (SELECT doc_id, list(id ORDER BY nth) AS ids FROM i WHERE id <> '' GROUP BY nr, doc_id),
+r0 AS (SELECT doc_id, ids, ',' || array_to_string(ids, ',,') || ',' AS rest, CAST([] AS VARCHAR[]) AS found FROM g),
+{", ".join(steps)}
+SELECT doc_id, array_to_string(list_sort(found), ',') AS licenses, array_to_string(ids, ',') AS sentence_ids,
+  CAST(len(list_filter(ids, lambda x: x <> 'unknown')) AS BIGINT) AS n_known,
+  CAST(len(list_filter(ids, lambda x: x = 'unknown')) AS BIGINT) AS n_unknown,
+  array_to_string(list_filter(regexp_split_to_array(rest, '[,;]+'), lambda x: x NOT IN ('', 'unknown')), ',') AS unmatched
+FROM {last}
+"""
