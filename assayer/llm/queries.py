@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assayer.llm import sql
 from assayer.llm.decontaminate import decontaminate
 from assayer.llm.licenses import license_scan
+from assayer.llm.ngram import score_documents
 from assayer.llm.packing import pack
 from assayer.llm.pii import personal_data, span_report
 from assayer.llm.quality import RULES, plan_cascade, quality_report
@@ -55,6 +56,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_report(docs, plan_cascade(docs, RULES))
 
 
+def op8_ngram_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = balanced_shards(_table(spark, sf_dir, "documents"), 40)
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -68,6 +73,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_secret_forest": op5_secret_forest,
     "op6_personal_data": op6_personal_data,
     "op7_quality_rules": op7_quality_rules,
+    "op8_ngram_scores": op8_ngram_scores,
     "op9_sampled_splitter_shards": op9_sampled_splitter_shards,
 }
 
