@@ -12,6 +12,7 @@ from assayer.llm.decontaminate import decontaminate
 from assayer.llm.licenses import license_scan
 from assayer.llm.ngram import score_documents
 from assayer.llm.packing import pack
+from assayer.llm.passages import repeated_passages
 from assayer.llm.pii import personal_data, span_report
 from assayer.llm.quality import RULES, plan_cascade, quality_report
 from assayer.llm.secrets import secret_findings
@@ -65,6 +66,10 @@ def op9_sampled_splitter_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_ngram_jaccard_join": op2_ngram_jaccard_join,
@@ -75,6 +80,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_quality_rules": op7_quality_rules,
     "op8_ngram_scores": op8_ngram_scores,
     "op9_sampled_splitter_shards": op9_sampled_splitter_shards,
+    "op10_repeated_passages": op10_repeated_passages,
 }
 
 ORACLE_SQL: dict[str, str] = {
