@@ -101,17 +101,17 @@ def find(text: Column, pattern: str, kind: str, base: bool, window: int = 40) ->
     )
 
 
-def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
+def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """(key, found): every base match and looser candidate of each document, passing its checks or not."""
     none = "array<struct<kind:string,rank:int,start:int,stop:int,value:string,base:boolean,before:string,after:string>>"
-    t = F.col("text")
+    t = F.col("scanned_text")
     guards = {"email": t.contains("@"), "phone": t.contains("+"), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": F.col("digits")}
     loose = {"email": t.rlike(r"[\[(]at[\])]"), "phone": F.col("digits")}
     columns = [F.when(guards[k], find(t, BASE[k], k, True)).otherwise(F.array().cast(none)) for k in KINDS]
     columns += [F.when(loose[k], find(t, LOOSE[k], k, False)).otherwise(F.array().cast(none)) for k in LOOSE]
-    rows = docs.select(F.col(key), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    rows = docs.select(F.col(key), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("scanned_text"))
     rows = rows.withColumn("digits", t.rlike("[0-9]{2}"))
-    return rows.select(key, F.concat(*columns).alias("found"))
+    return rows.select(key, "carried", F.concat(*columns).alias("found"))
 
 
 def _votes(c: Column) -> list[Column]:
@@ -204,11 +204,11 @@ def train(judged: DataFrame) -> tuple[list[float], float] | None:
     return [float(c) for c in model.coefficients], float(model.intercept)
 
 
-def personal_data(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8) -> DataFrame:
-    """One row a document: key and ``spans``, sorted structs (kind, rank, start, stop, base) of base and added spans."""
+def personal_data(docs: DataFrame, *, key: str = "doc_id", text: str = "text", threshold: float = 0.8, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row a document: key, ``carried`` (a struct of the columns ``carry``) and ``spans``, sorted structs (kind, rank, start, stop, base) of base and added spans."""
     size = lambda c: F.when(c["stop"] - c["start"] <= 12, 0).when(c["stop"] - c["start"] <= 20, 1).otherwise(2)
     slim = lambda c: F.struct(c["rank"].alias("rank"), c["start"].alias("start"), c["stop"].alias("stop"), c["kind"].alias("kind"), c["base"].alias("base"), F.array(*_votes(c)).alias("votes"), size(c).alias("size"))
-    found = materialise(candidates(docs, key, text).select(key, F.transform("found", slim).alias("found")), "pii-candidates")
+    found = materialise(candidates(docs, key, text, carry or (key,)).select(key, "carried", F.transform("found", slim).alias("found")), "pii-candidates")
     judged = found.where(F.size("found") > 0).select(F.inline("found")).select("kind", "votes", "size")
     model = train(judged)
 
@@ -226,7 +226,7 @@ def personal_data(docs: DataFrame, *, key: str = "doc_id", text: str = "text", t
     sure = F.filter("found", lambda c: c["base"])
     extra = F.filter(F.filter("found", lambda c: ~c["base"] & keep(c)), lambda c: ~F.exists("sure", lambda b: (b["start"] < c["stop"]) & (c["start"] < b["stop"])))
     short = lambda c: F.struct(c["rank"].alias("rank"), c["start"].alias("start"), c["stop"].alias("stop"), c["kind"].alias("kind"), c["base"].alias("base"))
-    return found.withColumn("sure", sure).select(key, F.array_sort(F.transform(F.concat("sure", extra), short)).alias("spans"))
+    return found.withColumn("sure", sure).select(key, "carried", F.array_sort(F.transform(F.concat("sure", extra), short)).alias("spans"))
 
 
 def _joined(spans: Column) -> Column:
