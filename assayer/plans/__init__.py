@@ -1,4 +1,5 @@
 """Registered queries over the provided tables and their DuckDB counterparts."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from assayer.plans.curation import ORACLE_SQL, QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
