@@ -58,26 +58,25 @@ class EliasFano:
         return (high << self.low_bits) | self.low[i].astype(np.int64)
 
     def find(self, values: np.ndarray) -> np.ndarray:
-        """Index of the first element equal to each value, or -1: a successor search from the value's high part."""
+        """Index of the first element equal to each value, or -1: a successor search among the elements of the value's high part."""
         values = np.asarray(values, np.int64)
         out = np.full(len(values), -1, np.int64)
         if not self.size or not len(values):
             return out
         high, low = values >> self.low_bits, values & ((1 << self.low_bits) - 1)
-        at = np.zeros(len(values), np.int64)
+        a = np.zeros(len(values), np.int64)
         some = np.flatnonzero(high > 0)
-        at[some] = self._select(self.zeros, high[some] - 1, True) - (high[some] - 1)
-        todo = np.arange(len(values))
+        a[some] = self._select(self.zeros, high[some] - 1, True) - (high[some] - 1)
+        end = b = self._select(self.zeros, high, True) - high
+        todo = np.flatnonzero(a < b)
+        b = b.copy()
         while len(todo):
-            i = at[todo]
-            place = i + high[todo]
-            word = np.asarray(self.high[place >> 6]) >> (place & 63).astype(np.uint64)
-            there = ((word & _ONE) == 1) & (i < self.size)
-            todo, i = todo[there], i[there]
-            own = self.low[i].astype(np.int64)
-            hit = own == low[todo]
-            out[todo[hit]] = i[hit]
-            go = own < low[todo]
-            todo = todo[go]
-            at[todo] += 1
+            middle = (a[todo] + b[todo]) >> 1
+            below = self.low[middle].astype(np.int64) < low[todo]
+            a[todo[below]] = middle[below] + 1
+            b[todo[~below]] = middle[~below]
+            todo = todo[a[todo] < b[todo]]
+        some = np.flatnonzero(a < end)
+        hit = some[self.low[a[some]].astype(np.int64) == low[some]]
+        out[hit] = a[hit]
         return out
