@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: A text without any of these words (lower case) holds no known sentence.
-ANCHOR = r"licen[sc]e|permission is hereby|redistribution|warranty|spdx|public domain|\bas is\b|free software|provided that"
+ANCHOR = r"licen[sc]e|hereby granted|permission notice|endorse or promote|redistribution|warranty|spdx|public domain|\bas is\b|free software|provided that"
 #: Identifier and pattern over the whole normalised sentence.
 SENTENCES = (
     ("apache2_under", r"(?:.* )?licensed under the apache license version 2 0"),
