@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -19,9 +22,25 @@ def shared_dir(spark: SparkSession) -> str:
     return path.rstrip("/")
 
 
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors, unless their Python finds it by PYTHONPATH or the working folder."""
+    root = Path(__file__).resolve().parents[2]
+    found = {Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
+    context = spark.sparkContext
+    if root in found or getattr(context, "_assayer_shipped", False):
+        return
+    path = Path(tempfile.mkdtemp(prefix="assayer-")) / "assayer.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for f in sorted((root / "assayer").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    context.addPyFile(str(path))
+    context._assayer_shipped = True
+
+
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` to the shared folder and reads it back, so that lost executors cost no recomputation."""
     spark = df.sparkSession
+    ship(spark)
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)

@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm._text import LOWER, Block, slices, text_buffers
+from assayer.llm._work import ship
 from assayer.llm.fmindex import FmIndex
 
 SHARD_BYTES = 32 << 20
@@ -169,6 +170,7 @@ _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 def benchmark_spans(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
     """One row a document: key, n_words, items (ids as sorted strings) and merged spans of word numbers [start, stop)."""
+    ship(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     items = benchmark.select(F.col(item_key).cast("string").alias("k"), F.col(item_text).cast("string").alias("t")).where("k is not null and t is not null")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0

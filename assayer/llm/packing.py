@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm._work import materialise
+from assayer.llm._work import materialise, ship
 from assayer.llm.tokens import WordCoder
 
 OFFSET_BROADCAST_ROWS = 100_000
@@ -120,6 +120,7 @@ class Quotas:
 
 def pack(docs: DataFrame, tokenizer: str, length: int = 2048, *, key: str = "doc_id", text: str = "text", source: str = "source", end_id: int = 1) -> DataFrame:
     """One row a piece: key, start, length, ids_crc32, doc_tokens, sequence_id, offset, source."""
+    ship(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     tokens = materialise(tokenise(docs, tokenizer, key=key, text=text, source=source, end_id=end_id), "pack-tokens")
     sums = materialise(tokens.groupBy("block", "source").agg(F.sum("n").alias("n")), "pack-sums")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import sql
+from assayer.llm._work import ship
 from assayer.llm.decontaminate import decontaminate
 from assayer.llm.licenses import license_scan
 from assayer.llm.ngram import score_documents
@@ -21,6 +22,7 @@ from assayer.llm.sharding import balanced_shards
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
