@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.llm._text import SPACE, Block, mix, slices, text_buffers, windows
+from assayer.llm._work import ship
 
 BLOCK_BYTES = 1 << 20
 #: The symbols that are counted.
@@ -157,34 +158,26 @@ def verdicts(block: Block, rules: tuple[Rule, ...], measures: Measures | None =
     return alive
 
 
-def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 2000) -> tuple[Rule, ...]:
+def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 500) -> tuple[Rule, ...]:
     """Rules by rejections per second of their kernels, measured on at most ``sample_rows`` texts.
 
     The sample fixes an execution order only; it never decides about a document.
     """
-    names = [r.name for r in rules]
-
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        took, rejected = np.zeros(len(rules)), np.zeros(len(rules), np.int64)
-        for batch in batches:
-            for block in _blocks(batch.column(0)):
-                for i, rule in enumerate(rules):
-                    began = time.perf_counter()
-                    rejected[i] += int(rule.rejects(Measures(block)).sum())
-                    took[i] += time.perf_counter() - began
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(took), pa.array(rejected)], names=["rule", "seconds", "rejected"])
-
-    found = (
-        docs.select(F.col(text).cast("string").alias("text")).limit(sample_rows)
-        .mapInArrow(measure, "rule string, seconds double, rejected long")
-        .groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected")).collect()
-    )
-    worth = {r["rule"]: (r["rejected"] + 0.5) / (r["seconds"] + 1e-6) for r in found}
-    return tuple(sorted(rules, key=lambda r: (-worth.get(r.name, 0.0), names.index(r.name))))
+    sample = [r[0] for r in docs.select(F.col(text).cast("string")).take(sample_rows)]
+    worth: dict[str, float] = {}
+    for rule in rules:
+        seconds, rejected = 0.0, 0
+        for block in _blocks(pa.array(sample, pa.large_string())):
+            began = time.perf_counter()
+            rejected += int(rule.rejects(Measures(block)).sum())
+            seconds += time.perf_counter() - began
+        worth[rule.name] = (rejected + 0.5) / (seconds + 1e-6)
+    return tuple(sorted(rules, key=lambda r: -worth[r.name]))
 
 
 def apply_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", flag: str = "kept") -> DataFrame:
     """``docs`` with a boolean column ``flag``; the order of ``rules`` is the order of the cascade."""
+    ship(docs.sparkSession)
     schema = T.StructType([f for f in docs.schema.fields if f.name != flag] + [T.StructField(flag, T.BooleanType())])
     names = [f.name for f in schema.fields[:-1]]
     at = names.index(text)
@@ -200,6 +193,7 @@ def apply_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
 
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: the base counts, whether a base rule fails, and the cascade's verdict."""
+    ship(docs.sparkSession)
     base = [r for r in rules if r.name in BASE_RULES]
     rest = tuple(r for r in rules if r.name not in BASE_RULES)
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
