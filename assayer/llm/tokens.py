@@ -9,6 +9,7 @@ tokenizer, so the ids always equal those of ``Tokenizer.encode``.
 from __future__ import annotations
 
 import unicodedata
+from array import array
 
 import numpy as np
 import regex
@@ -41,12 +42,13 @@ class _Cache(dict):
 class WordCoder:
     """Encodes texts as 16- or 32-bit little-endian ids (``dtype``)."""
 
-    MAX_CACHED = 300_000
+    MAX_CACHED = 1_000_000
 
     def __init__(self, path: str):
         self.full = Tokenizer.from_file(path)
         self.model = self.full.model
         self.dtype = np.dtype("<u2" if self.full.get_vocab_size() <= 1 << 16 else "<u4")
+        self.code = "H" if self.dtype.itemsize == 2 else "I"
         self.letters = _byte_letters()
         self.chunks, self.words = _Cache(self._chunk), _Cache(self._word)
 
@@ -57,13 +59,18 @@ class WordCoder:
         return _coders[path]
 
     def _pack(self, ids) -> bytes:
-        return np.array(ids, self.dtype).tobytes()
+        return array(self.code, ids).tobytes()
 
     def _word(self, word: str) -> bytes:
         mapped = word if word.isascii() else "".join(map(self.letters.__getitem__, word.encode()))
         return self._pack([t.id for t in self.model.tokenize(mapped)])
 
     def _chunk(self, chunk: str) -> bytes:
+        if chunk.isascii():
+            if chunk.isalpha():
+                return self._pack([t.id for t in self.model.tokenize(chunk.lower())])
+            if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
+                return self.chunks[chunk[:-1]] + self.words[chunk[-1]]
         if not _PLAIN.fullmatch(chunk) or "<|" in chunk or "­" in chunk or "\x7f" in chunk:
             return self._pack(self.full.encode(chunk, add_special_tokens=False).ids)
         low = unicodedata.normalize("NFC", chunk).lower()
