@@ -31,13 +31,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm._text import Block, mix, slices, text_buffers
-from assayer.llm._work import discard, materialise
+from assayer.llm._work import materialise, ship
 from assayer.llm.eliasfano import EliasFano
 
 BLOCK_BYTES = 12 << 20
 SLICE_BYTES = 1 << 20
 #: Text bytes for each owner partition, and the share of an owner's tokens from which a word is divided.
-OWNER_BYTES, HOT_SHARE = 24 << 20, 0.25
+OWNER_BYTES, HOT_SHARE = 8 << 20, 0.25
 END = np.uint64(0x9D5C3A1F00000001)
 PRIOR = 2.0
 
@@ -335,6 +335,7 @@ def _score(owners: int, tokens: int, kinds: int, key: str):
 
 def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
+    ship(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
     blocks = materialise(text_blocks(docs, key, text), "lm-blocks")
     size = blocks.agg(F.sum(F.length("bytes"))).first()[0] or 0
