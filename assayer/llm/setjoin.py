@@ -14,7 +14,7 @@ mean length. In a few rounds every list first compares its members with one pivo
 lists whose members are then connected are finished, and only pairs across components are
 enumerated, filtered by size, position and bitmap, and verified. No link is lost, and a group of
 copies costs a number of pairs in proportion to its size. The lists of very common shingles are
-packed in several buckets.
+packed in several buckets; whether such a list has two classes is decided over all its buckets.
 
 64-bit hashes stand for shingles (two different ones are equal with probability 2^-64).
 Null and empty texts have no shingles and link with nothing. Repeated rows are equal sets. A set of
@@ -40,8 +40,11 @@ from assayer.llm.components import connected_components
 BLOCK_BYTES = 1 << 20
 SKETCH_BITS = 22
 SKETCH_SLICES = 64
-#: Postings of one bucket, and list length beyond which a shingle's list is salted.
-BUCKET_POSTINGS, HOT_LIST = 1_500_000, 200_000
+#: Postings of one bucket; sketch count (16-bit counters saturate there) from which a shingle's list is dealt over
+#: so many salts.
+BUCKET_POSTINGS, HOT_LIST, SALTS = 1_500_000, 0xFFFF, 64
+#: Bit of a packed position that marks a salted list's posting.
+SALTED = 1 << 31
 MAX_LIGHT = 40
 #: 64-bit words of a set's parity bitmap, and rounds of pivots before the remaining pairs are enumerated.
 BITMAP_WORDS, PIVOT_ROUNDS = 16, 2
@@ -76,6 +79,7 @@ def set_classes(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["row_key", "node", "n", "slice", "counts"]
         sketch, waiting, held, keys_type = np.zeros(1 << SKETCH_BITS, np.int64), [], 0, types.get(kind, pa.int64())
+        seen = set()  # the sketch counts classes, once a task, so that copies do not saturate it
 
         def count() -> None:
             nonlocal sketch
@@ -87,7 +91,10 @@ def set_classes(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             node, n = [], []
             keys_type = batch.column(0).type
             for s in _sets(batch.column(1), width):
-                node.append(_class(s)), n.append(len(s)), waiting.append(s)
+                node.append(_class(s)), n.append(len(s))
+                if node[-1] in seen:
+                    continue
+                seen.add(node[-1]), waiting.append(s)
                 held += len(s)
                 if held > 1 << 21:
                     count()
@@ -158,6 +165,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, boundary: int, buckets: int, t
             if parts:
                 keys, node, n, pos, hot = map(np.concatenate, zip(*parts, strict=True))
                 salt = np.where(hot > 1, mix(node.astype(np.uint64)) % np.maximum(hot, 1).astype(np.uint64), 0)
+                pos = pos + (hot > 1) * SALTED
                 yield from blobs(keys, node, n, pos, (mix(keys ^ mix(salt.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64))
 
         for batch in batches:
@@ -180,7 +188,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, boundary: int, buckets: int, t
                     keep = order[: spare + 1]
                     place = np.flatnonzero(count[keep] > 1)  # a count of one: no other set has it
                     k = s[keep[place]] & ~np.uint64(1)
-                    hot = np.where(count[keep[place]] == 0xFFFF, 64, count[keep[place]].astype(np.int64) // HOT_LIST + 1)
+                    hot = np.where(count[keep[place]] >= HOT_LIST, SALTS, 1)
                     parts.append((k, np.full(len(k), name), np.full(len(k), size), place, hot))
                     held += len(k)
                 if held > 1_500_000:
@@ -208,7 +216,7 @@ def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
 
 
 def _lists():
-    """Inverted lists of two or more classes."""
+    """Inverted lists of two or more classes, and all postings of salted lists: other buckets may hold their other classes."""
 
     def run(table: pa.Table) -> pa.Table:
         keys, node, n, pos = _unpack(table.column("blob").to_pylist())
@@ -219,13 +227,30 @@ def _lists():
         keys, node, n, pos = keys[keep], node[keep], n[keep], pos[keep]
         run_of = np.cumsum(np.append(False, keys[1:] != keys[:-1]))
         length = np.bincount(run_of)
-        keep = length[run_of] > 1
+        keep = (length[run_of] > 1) | (pos >= SALTED)
         keys, node, n, pos = keys[keep], node[keep], n[keep], pos[keep]
-        return pa.table({"k": keys.astype(np.int64), "node": node, "n": n.astype(np.int32), "pos": pos.astype(np.int32)})
+        return pa.table({"k": keys.astype(np.int64), "node": node, "n": n.astype(np.int32), "pos": (pos % SALTED).astype(np.int32), "salted": pos >= SALTED})
 
     return run
 
 
+def _whole_lists(lists: DataFrame) -> DataFrame:
+    """Salted lists of one class over all their buckets are dropped; the others are whole already."""
+    salted = lists.where("salted")
+    if salted.isEmpty():
+        return _stored(lists.drop("salted"), lists)
+    two = salted.groupBy("k").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).where("lo <> hi").select("k")
+    out = materialise(lists.where("not salted").union(salted.join(two, "k", "left_semi").select(*lists.columns)).drop("salted"), "set-lists")
+    discard(lists)
+    return out
+
+
+def _stored(df: DataFrame, as_: DataFrame) -> DataFrame:
+    """``df``, discarded with the table ``as_`` which it reads."""
+    df._stored_at = as_._stored_at
+    return df
+
+
 def _of_class(texts: DataFrame, width: int) -> DataFrame:
     """Drops texts whose set is another class's: ids may repeat with different texts."""
 
@@ -282,7 +307,7 @@ def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(spare / BUCKET_POSTINGS))
 
     packed = postings(docs, sketch, boundary, buckets, text, width)
-    lists = materialise(packed.groupBy("bucket").applyInArrow(_lists(), "k long, node long, n int, pos int"), "set-lists")
+    lists = _whole_lists(materialise(packed.groupBy("bucket").applyInArrow(_lists(), "k long, node long, n int, pos int, salted boolean"), "set-lists"))
     spark_gc(spark)
     shared = lists.groupBy("node").agg(F.count(F.lit(1)).alias("f"))
     named = rows.join(shared, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))

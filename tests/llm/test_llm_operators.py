@@ -111,6 +111,23 @@ def test_jaccard_join(spark, docs, corpus, empty):
     assert setjoin.jaccard_classes(empty).count() == 0
 
 
+def test_jaccard_join_of_salted_lists(spark, monkeypatch):
+    monkeypatch.setattr(setjoin, "HOT_LIST", 1)
+    r = random.Random(6)
+    rows = []
+    for i in range(0, 60, 3):
+        t = [f"w{r.randint(0, 9999)}" for _ in range(90)]
+        rows += [(i, " ".join(t)), (i + 1, " ".join(t)), (i + 2, " ".join([*t[:80], "x", *t[81:]]))]
+    got = setjoin.jaccard_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {tuple(x) for x in got} == components_of(rows) and {x[2] for x in got} == set(range(0, 60, 3))
+
+
+def test_sketch_counts_classes(spark):
+    df = spark.createDataFrame([(i, "a b c d e f g h") for i in range(100)], "doc_id long, text string").coalesce(1)
+    made = setjoin.set_classes(df, "doc_id", "text", 5)
+    assert setjoin.sum_sketch(made.where("slice is not null").select("slice", "counts")).max() == 1
+
+
 def test_light_boundary():
     assert setjoin.light_boundary({}, 1.0) >= 2
     assert setjoin.light_boundary({10: 50}, 500.0) > setjoin.light_boundary({10: 50}, 1.0)
