@@ -105,7 +105,7 @@ def candidates(docs: DataFrame, key: str = "doc_id", text: str = "text", carry:
     """(key, found): every base match and looser candidate of each document, passing its checks or not."""
     none = "array<struct<kind:string,rank:int,start:int,stop:int,value:string,base:boolean,before:string,after:string>>"
     t = F.col("scanned_text")
-    guards = {"email": t.contains("@"), "phone": t.contains("+"), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": F.col("digits")}
+    guards = {"email": t.contains("@"), "phone": t.contains("+"), "ip": t.rlike(r"[0-9]\.[0-9]"), "card": t.rlike(r"[0-9][\x20-]?[0-9]")}
     loose = {"email": t.rlike(r"[\[(]at[\])]"), "phone": F.col("digits")}
     columns = [F.when(guards[k], find(t, BASE[k], k, True)).otherwise(F.array().cast(none)) for k in KINDS]
     columns += [F.when(loose[k], find(t, LOOSE[k], k, False)).otherwise(F.array().cast(none)) for k in LOOSE]

@@ -230,6 +230,15 @@ def test_personal_data(spark, docs, corpus, empty):
     assert text.endswith("mail [EMAIL], call [PHONE]")
 
 
+def test_cards_digit_by_digit(spark):
+    spaced, dashed = " ".join("4111111111111111"), "-".join("4111111111111111")
+    rows = [(1, f"card {spaced} end"), (2, f"{dashed}"), (3, "4 1 1 1")]
+    found = pii.personal_data(spark.createDataFrame(rows, "doc_id long, text string"), carry=("text",))
+    got = {r["doc_id"]: (r["n_card"], r["spans"]) for r in pii.span_report(found).collect()}
+    assert got == {1: (1, "card:5:36"), 2: (1, "card:0:31"), 3: (0, "")}
+    assert found.where("doc_id = 1").select(pii.redact(F.col("carried.text"), F.col("spans"))).first()[0] == "card [CARD] end"
+
+
 def test_reliabilities():
     votes = [("email", (1, 1, -1, 1, 1), 900.0), ("email", (0, 0, -1, 0, 0), 100.0), ("email", (-1, 0, -1, 1, 0), 20.0)]
     post, rates = pii.estimate(votes)
