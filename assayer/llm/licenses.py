@@ -1,8 +1,10 @@
 """Licence recognition by sentence rules, in DataFrame functions only.
 
 Texts are cut into sentences at line ends and at sentence marks before white space; a sentence is
-normalised to lower-case words. Each known licence sentence has an identifier; the first matching
-pattern names the sentence. The identifiers of a text, in order, form a sequence in which
+normalised to lower-case words, which removes comment marks. Each known licence sentence has an
+identifier; the first matching pattern names the sentence. Lines that are no known sentence alone
+are joined with those after them, up to a sentence mark or an empty line, where together they are a
+known sentence (wrapped notices); lines that go on with an open-ended sentence belong to it. The identifiers of a text, in order, form a sequence in which
 sentences that mention a licence but are not known count as ``unknown`` and all others are left
 out. Ordered rules (longest notices first) consume parts of that sequence and give the licences.
 
@@ -65,23 +67,52 @@ RULES = (
     ("CC-BY-4.0", r",cc_by4_under,"),
     ("CC0-1.0", r",cc0_under,"),
 )
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Standard wordings beside those of ``SENTENCES``.
+STANDARD = (
+    ("apache2_under", r"(?:.* )?licensed under the apache license version 2 0(?: the license)?(?: you may not use this (?:file|work) except in compliance with the license)?"),
+    ("isc_grant", r"permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted.*"),
+    ("gpl_free", r"this program is free software you can redistribute it and or modify it under the terms of the gnu general public license(?: version [23])? as published by the free software foundation(?: either version [23] of the license or at your option any later version)?"),
+)
+#: ``|`` marks the end of a sentence below, so texts must not have it.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ|", "abcdefghijklmnopqrstuvwxyz,"
 
 
 def _identify(sentence: Column) -> Column:
     out = F.when(~sentence.rlike(ANCHOR), F.lit(""))
-    for name, pattern in SENTENCES:
+    for name, pattern in SENTENCES + STANDARD:
         out = out.when(sentence.rlike(f"^(?:{pattern})$"), F.lit(name))
     return out.otherwise(F.lit("unknown"))
 
 
+def _joined(sentence: Column) -> Column:
+    """A sentence of several lines with the runs of lines that make a known sentence replaced by ``{identifier}``."""
+    lines = F.transform(F.split(sentence, "\n"), lambda x: F.struct(x.alias("line"), _identify(x).alias("id")))
+    out = F.array_join(F.transform(lines, lambda x: F.when(x["id"].isin("", "unknown"), x["line"]).otherwise(F.concat(F.lit("{"), x["id"], F.lit("}")))), "\n")
+    known = SENTENCES + STANDARD
+    for name, pattern in sorted(known, key=lambda s: s[1].endswith(".*")):  # open-ended ones take what is left
+        wide = pattern.replace("(?:.* )?", "(?:[a-z0-9 ]* )?", 1) if pattern.startswith("(?:.* )?") else pattern
+        wide = wide.replace(" ", "[ \n]").replace("[a-z0-9[ \n]]*[ \n]", "[a-z0-9 ]* ").replace(".*", "[a-z0-9 \n]*")
+        out = F.regexp_replace(out, rf"(?<![^\n])(?:{wide})(?![^\n])", f"{{{name}}}")
+    open_ended = "|".join(sorted({n for n, p in known if p.endswith(".*")}))
+    return F.regexp_replace(out, rf"\{{({open_ended})\}}[a-z0-9 \n]+(?![^\n])", "{$1}")
+
+
+def _identifiers(text: Column) -> Column:
+    """The identifiers of a lower-case text's sentences in order, '' for those that mention no licence."""
+    text = F.regexp_replace(text, r"(license, v)\. ?(?=2\.0)", "$1 ")
+    text = F.regexp_replace(text, r"(a copy of the license at)[^a-z0-9]+(?=https?://)", "$1 ")
+    text = F.regexp_replace(text, r"[.!?](?:[\x20\t\r]+|(?=\n)|\z)", "|")
+    text = F.trim(F.regexp_replace(F.regexp_replace(text, r"[^a-z0-9|\n]+", " "), r" ?([|\n]) ?", "$1"))
+    sentences = F.split(F.regexp_replace(text, r"\n{2,}", "|"), r"\|")
+    lines = F.flatten(F.transform(sentences, lambda s: F.when(s.contains("\n") & s.rlike(ANCHOR), F.split(_joined(s), "\n")).otherwise(F.split(s, "\n"))))
+    return F.transform(lines, lambda x: F.when(x.startswith("{"), F.regexp_replace(x, "[{}]", "")).otherwise(_identify(F.trim(x))))
+
+
 def license_scan(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document with licence sentences: key, licenses and sentence_ids (in order, comma-joined), n_known, n_unknown, unmatched (known sentences that no rule used)."""
     low = F.translate(F.col(text).cast("string"), _UPPER, _LOWER)
     rows = docs.select(F.col(key), low.alias("text")).where(F.col("text").rlike(ANCHOR))
-    sentences = F.split(F.regexp_replace("text", r"([.!?])[\x20\t\r]+", "$1\n"), "\n")
-    normal = F.transform(sentences, lambda s: F.trim(F.regexp_replace(s, "[^a-z0-9]+", " ")))
-    ids = F.filter(F.transform(normal, _identify), lambda i: i != "")
+    ids = F.filter(_identifiers(F.col("text")), lambda i: i != "")
     rows = rows.select(key, ids.alias("ids")).where(F.size("ids") > 0)
     rules = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("pattern")) for n, p in RULES])
     sequence = F.concat_ws("", F.transform("ids", lambda i: F.concat(F.lit(","), i, F.lit(","))))
