@@ -37,13 +37,23 @@ def ship(spark: SparkSession) -> None:
     context._assayer_shipped = True
 
 
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back, so that lost executors cost no recomputation."""
+def materialise(df: DataFrame, name: str, by: str | None = None, buckets: int = 0) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back, so that lost executors cost no recomputation.
+
+    With ``by`` the table is bucketed and sorted by that column, and joins on it read it in place.
+    """
     spark = df.sparkSession
     ship(spark)
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
+    table = f"{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{table}"
+    if by:
+        table = table.replace("-", "_")
+        df.write.option("path", path).bucketBy(buckets, by).sortBy(by).saveAsTable(table)
+        out = spark.table(table)
+        out._stored_as = table
+    else:
+        df.write.parquet(path)
+        out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
 
@@ -52,6 +62,8 @@ def discard(df: DataFrame) -> None:
     """Deletes a table of ``materialise`` which nothing reads any more."""
     path = getattr(df, "_stored_at", None)
     if path:
+        if getattr(df, "_stored_as", None):
+            df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._stored_as}")
         jvm = df.sparkSession._jvm
         where = jvm.org.apache.hadoop.fs.Path(path)
         where.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(where, True)

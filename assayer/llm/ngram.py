@@ -1,6 +1,7 @@
 """N-gram scores from an Elias-Fano trie that is spread over partitions.
 
-Texts are kept in blocks. A block sends its distinct words, and later its distinct trigrams, once
+Texts are kept in blocks, in a table bucketed by block: their bytes are never shuffled, and what the
+owners answer goes to where the blocks lie. A block sends its distinct words, and later its distinct trigrams, once
 to the partitions that own them, and gets back counts over all training texts. An owner
 of trigrams builds a trie of its contexts: a level of words v with monotone pointers to their
 successors w, and a level of pairs (u, v) with monotone pointers to successors which are coded
@@ -12,8 +13,9 @@ With counts c over training texts, a text's probability multiplies, over its tok
 p3 = (c(uvw) + m p2) / (c(uv) + m), p2 = (c(vw) + m p1) / (c(v) + m) and p1 = (c(w) + 0.5) / (N + 0.5 (V + 1)).
 Counts to 127 are exact; larger ones are quantised to within 0.04 %.
 
-Null and empty texts have one token, the end. Repeated rows count as often as they occur. Extra columns
-are ignored; an empty table gives an empty result.
+Null and empty texts have one token, the end. Repeated rows count as often as they occur; rows without
+a key are training texts. A text longer than a block is a block. Extra columns are ignored, whatever
+their names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm._text import Block, mix, slices, text_buffers
-from assayer.llm._work import materialise, ship
+from assayer.llm._work import materialise, ship, spark_gc
 from assayer.llm.eliasfano import EliasFano
 
 BLOCK_BYTES = 12 << 20
@@ -337,9 +339,11 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
     """One row a document: key, held_out, n_tokens, n_known, train_tokens, base_score, score."""
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
-    blocks = materialise(text_blocks(docs, key, text), "lm-blocks")
-    size = blocks.agg(F.sum(F.length("bytes"))).first()[0] or 0
-    owners = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(3 * size / OWNER_BYTES))
+    spark = docs.sparkSession
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    blocks = materialise(text_blocks(docs, key, text), "lm-blocks", by="block", buckets=min(50_000, max(parallel, ceil(size / BLOCK_BYTES))))
+    owners = max(parallel, ceil(size / OWNER_BYTES))
     schema = "block long, part int, blob binary"
     words = materialise(blocks.mapInArrow(_send_words(owners), schema).groupBy("part").applyInArrow(_count_words(owners), schema), "lm-words")
     kinds = tokens = 0
@@ -347,8 +351,10 @@ def score_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text")
         a = _unpack(r["blob"])[0]
         kinds, tokens = kinds + int(a[0]), tokens + int(a[1])
     words = words.where("block >= 0")
+    spark_gc(spark)
     asked = blocks.groupBy("block").cogroup(words.groupBy("block")).applyInArrow(_send_trigrams(owners, tokens), schema)
     trigrams = materialise(asked.groupBy("part").applyInArrow(_count_trigrams, schema), "lm-trigrams")
+    spark_gc(spark)
     answers = words.withColumn("level", F.lit(1)).union(trigrams.withColumn("level", F.lit(3)))
     out = f"{key} {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     return blocks.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(_score(owners, tokens, kinds, key), out)

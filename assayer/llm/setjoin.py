@@ -16,10 +16,14 @@ enumerated, filtered by size, position and bitmap, and verified. No link is lost
 copies costs a number of pairs in proportion to its size. The lists of very common shingles are
 packed in several buckets; whether such a list has two classes is decided over all its buckets.
 
+The texts of the classes that share a list are shuffled once, into a table bucketed by class, which
+all verifications read in place.
+
 64-bit hashes stand for shingles (two different ones are equal with probability 2^-64).
-Null and empty texts have no shingles and link with nothing. Repeated rows are equal sets. A set of
-which all rows lack a key links with equal sets only. Extra columns are ignored; an empty table
-gives an empty result.
+Null and empty texts have no shingles and link with nothing. Repeated rows are equal sets. Rows
+without a key link like others, and a component of such rows alone has a null id. Very long texts
+are hashed in pieces of a block and take part as a whole. Extra columns are ignored, whatever their
+names; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -40,14 +44,15 @@ from assayer.llm.components import connected_components
 BLOCK_BYTES = 1 << 20
 SKETCH_BITS = 22
 SKETCH_SLICES = 64
-#: Postings of one bucket; sketch count (16-bit counters saturate there) from which a shingle's list is dealt over
-#: so many salts.
-BUCKET_POSTINGS, HOT_LIST, SALTS = 1_500_000, 0xFFFF, 64
-#: Bit of a packed position that marks a salted list's posting.
-SALTED = 1 << 31
+#: Postings of one bucket, and classes by the sketch for each salt of a shingle's list.
+BUCKET_POSTINGS, HOT_LIST = 400_000, 50_000
+#: Bit of a packed position that marks a salted list's posting; larger positions are held as the one below it.
+SALTED = 1 << 15
 MAX_LIGHT = 40
 #: 64-bit words of a set's parity bitmap, and rounds of pivots before the remaining pairs are enumerated.
-BITMAP_WORDS, PIVOT_ROUNDS = 16, 2
+BITMAP_WORDS, PIVOT_ROUNDS = 8, 2
+#: Bits of the filter of classes that share a list (4 MB), and text bytes for each bucket of the class texts.
+FILTER_BITS, TEXT_BUCKET_BYTES = 25, 64 << 20
 #: The pivot rounds look at two in so many lists (subset keys are odd, single ones even).
 PIVOT_SHARE = 16
 
@@ -102,7 +107,7 @@ def set_classes(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
             rows = len(node)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.nulls(rows, pa.int32()), pa.nulls(rows, pa.binary())], names=names)
         count()
-        parts = np.minimum(sketch, 0xFFFF).astype("<u2").reshape(SKETCH_SLICES, -1)
+        parts = np.minimum(sketch, 0xFFFFFFFF).astype("<u4").reshape(SKETCH_SLICES, -1)
         some = [i for i in range(SKETCH_SLICES) if parts[i].any()]
         yield pa.RecordBatch.from_arrays([pa.nulls(len(some), keys_type), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())], names=names)
 
@@ -111,19 +116,19 @@ def set_classes(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
 
 
 def sum_sketch(slices_: DataFrame) -> np.ndarray:
-    """The sketch over all tasks: 2 ** SKETCH_BITS 16-bit counters, whatever the input's size."""
+    """The sketch over all tasks: 2 ** SKETCH_BITS 32-bit counters, whatever the input's size."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for i, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                part = np.frombuffer(zlib.decompress(blob), "<u2").astype(np.int64)
+                part = np.frombuffer(zlib.decompress(blob), "<u4").astype(np.int64)
                 total[i] = total[i] + part if i in total else part
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 0xFFFF).astype("<u2").tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
 
-    out = np.zeros((SKETCH_SLICES, (1 << SKETCH_BITS) // SKETCH_SLICES), np.uint16)
+    out = np.zeros((SKETCH_SLICES, (1 << SKETCH_BITS) // SKETCH_SLICES), np.uint32)
     for r in slices_.repartition(SKETCH_SLICES, "slice").mapInArrow(run, "slice int, counts binary").collect():
-        out[r["slice"]] = np.frombuffer(r["counts"], "<u2")
+        out[r["slice"]] = np.frombuffer(r["counts"], "<u4")
     return out.ravel()
 
 
@@ -153,7 +158,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, boundary: int, buckets: int, t
             sizes = np.zeros(len(nodes), "<u4")
             sizes[index] = n[g]
             head = np.array([len(nodes), len(g)], "<i8").tobytes()
-            out.append(head + nodes.astype("<i8").tobytes() + sizes.tobytes() + keys[g].astype("<u8").tobytes() + index.astype("<u4" if len(nodes) > 0xFFFF else "<u2").tobytes() + pos[g].astype("<u4").tobytes())
+            out.append(head + nodes.astype("<i8").tobytes() + sizes.tobytes() + keys[g].astype("<u8").tobytes() + index.astype("<u4" if len(nodes) > 0xFFFF else "<u2").tobytes() + pos[g].astype("<u2").tobytes())
         yield pa.RecordBatch.from_arrays([pa.array([int(bucket[g[0]]) for g in groups], pa.int32()), pa.array(out, pa.binary())], names=["bucket", "blob"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +170,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, boundary: int, buckets: int, t
             if parts:
                 keys, node, n, pos, hot = map(np.concatenate, zip(*parts, strict=True))
                 salt = np.where(hot > 1, mix(node.astype(np.uint64)) % np.maximum(hot, 1).astype(np.uint64), 0)
-                pos = pos + (hot > 1) * SALTED
+                pos = np.minimum(pos, SALTED - 1) + (hot > 1) * SALTED
                 yield from blobs(keys, node, n, pos, (mix(keys ^ mix(salt.astype(np.uint64))) % np.uint64(buckets)).astype(np.int64))
 
         for batch in batches:
@@ -188,7 +193,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, boundary: int, buckets: int, t
                     keep = order[: spare + 1]
                     place = np.flatnonzero(count[keep] > 1)  # a count of one: no other set has it
                     k = s[keep[place]] & ~np.uint64(1)
-                    hot = np.where(count[keep[place]] >= HOT_LIST, SALTS, 1)
+                    hot = -(-count[keep[place]].astype(np.int64) // HOT_LIST)
                     parts.append((k, np.full(len(k), name), np.full(len(k), size), place, hot))
                     held += len(k)
                 if held > 1_500_000:
@@ -210,8 +215,8 @@ def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
         keys = np.frombuffer(b, "<u8", k, at)
         wide = m > 0xFFFF
         index = np.frombuffer(b, "<u4" if wide else "<u2", k, at + 8 * k)
-        pos = np.frombuffer(b, "<u4", k, at + (12 if wide else 10) * k)
-        cols.append((keys, nodes[index], sizes[index].astype(np.int64), pos.astype(np.int64)))
+        pos = np.frombuffer(b, "<u2", k, at + (12 if wide else 10) * k)
+        cols.append((keys, nodes[index], sizes[index].astype(np.int32), pos.astype(np.int32)))
     return tuple(np.concatenate(c) for c in zip(*cols, strict=True))
 
 
@@ -251,17 +256,31 @@ def _stored(df: DataFrame, as_: DataFrame) -> DataFrame:
     return df
 
 
-def _of_class(texts: DataFrame, width: int) -> DataFrame:
-    """Drops texts whose set is another class's: ids may repeat with different texts."""
+def _class_texts(docs: DataFrame, shared: DataFrame, text: str, width: int, buckets: int) -> DataFrame:
+    """(node, text, bits) of the classes of ``shared``, bucketed by node; a filter of fixed size keeps most other texts from the shuffle."""
+    spark, low = docs.sparkSession, (1 << FILTER_BITS) - 1
+    bit = F.col("node").bitwiseAND(F.lit(low)) + 1
+    maps = shared.groupBy(F.bitmap_bucket_number(bit).alias("nr")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(bit)).alias("bits"))
+    filter_ = np.zeros((1 << FILTER_BITS) // 8, np.uint8)
+    for r in maps.collect():  # 2 ** FILTER_BITS bits at most
+        part = np.frombuffer(r["bits"], np.uint8)
+        filter_[(r["nr"] - 1) * len(part) : r["nr"] * len(part)] = part
+    known = spark.sparkContext.broadcast(filter_)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            sets = list(_sets(batch.column(1), width))
-            bits = pa.array([_bits(s) for s in sets], pa.list_(pa.int64()))
-            whole = pa.RecordBatch.from_arrays([*batch.columns, bits], names=["node", "text", "bits"])
-            yield whole.filter(pa.array([_class(s) == b for s, b in zip(sets, batch.column(0).to_pylist(), strict=True)], pa.bool_()))
+            node, keep, bits = [], [], []
+            for i, s in enumerate(_sets(batch.column(0), width)):
+                name = _class(s)
+                if name in seen or not known.value[(name & low) >> 3] >> (name & 7) & 1:
+                    continue
+                seen.add(name), node.append(name), keep.append(i), bits.append(_bits(s))
+            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), batch.column(0).take(pa.array(keep, pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["node", "text", "bits"])
 
-    return texts.mapInArrow(run, "node long, text string, bits array<long>")
+    texts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "node long, text string, bits array<long>")
+    texts = texts.repartition(buckets, "node").join(shared.select("node"), "node", "left_semi").dropDuplicates(["node"])
+    return materialise(texts, "set-texts", by="node", buckets=buckets)
 
 
 def _bits(s: np.ndarray) -> np.ndarray:
@@ -288,9 +307,13 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(mask), batch.column(1).filter(mask)], names=["a", "b"])
 
+    # members meet their texts where these lie; the pivots' texts go to the pairs, where a pivot of many pairs can be split
+    pivots = materialise(texts.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("node", "text"), "set-pivots")
     one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-    two = one.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    return two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    two = one.join(pivots.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    out = materialise(two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "set-links")
+    discard(pivots)
+    return out
 
 
 def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text", width: int = 5) -> DataFrame:
@@ -303,16 +326,18 @@ def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     sizes = {r["n"]: r["count"] for r in rows.where(F.col("n").between(3, MAX_LIGHT)).groupBy("n").count().collect()}
     weights = sketch[sketch > 0].astype(np.float64)
     boundary = light_boundary(sizes, float((weights**2).sum() / weights.sum()) if len(weights) else 1.0)
-    spare = rows.agg(F.sum(F.floor(F.col("n") / 4) + 1)).first()[0] or 0
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil(spare / BUCKET_POSTINGS))
+    heavy = F.when(4 * F.col("n") > 3 * boundary, F.floor(F.col("n") / 4) + 1).otherwise(0)
+    held = (rows.agg(F.sum(heavy)).first()[0] or 0) + sum(c * comb(n - required(n) + 2, 2) for n, c in sizes.items() if n <= boundary)
+    parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = max(parallel, ceil(held / BUCKET_POSTINGS))
 
     packed = postings(docs, sketch, boundary, buckets, text, width)
     lists = _whole_lists(materialise(packed.groupBy("bucket").applyInArrow(_lists(), "k long, node long, n int, pos int, salted boolean"), "set-lists"))
     spark_gc(spark)
-    shared = lists.groupBy("node").agg(F.count(F.lit(1)).alias("f"))
-    named = rows.join(shared, "node", "left_semi").groupBy("node").agg(F.min("row_key").alias("row_key"))
-    whole = docs.select(F.col(key).alias("row_key"), F.col(text).cast("string").alias("text"))
-    texts = materialise(_of_class(whole.join(named, "row_key").select("node", "text"), width), "set-texts")
+    shared = materialise(lists.groupBy("node").agg(F.count(F.lit(1)).alias("f")), "set-shared")
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    texts = _class_texts(docs, shared, text, width, min(50_000, max(parallel, ceil(size / TEXT_BUCKET_BYTES))))
+    spark_gc(spark)
 
     # members against one pivot a list, over a share of the lists: copies have many lists in common, and
     # what these rounds do not link is left to the join below, which takes all lists
@@ -322,39 +347,47 @@ def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
         rank = F.struct("f", -F.col("n"), "node") if turn == 0 else F.struct(F.xxhash64("node", F.lit(turn)), "n", "node")
         pivot = some.groupBy("k").agg(F.max(F.struct(rank.alias("rank"), F.col("node").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))).alias("p"))
         star = some.join(pivot.select("k", "p.a", "p.na", "p.la"), "k").where("label <> la and 4 * least(n, na) >= 3 * greatest(n, na)")
-        star = star.select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b")).distinct()
-        star = materialise(star if tried is None else star.join(tried, ["a", "b"], "left_anti"), "set-star")
-        found = materialise(_verify(star, texts, width), "set-links")
+        star = star.select("a", F.col("node").alias("b")).distinct()
+        star = materialise(star if tried is None else _untried(star, tried), "set-star")
+        found = _verify(star, texts, width)
         links, tried = (found, star) if links is None else (links.union(found), tried.union(star))
         labels = materialise(connected_components(links), "set-labels")
         links = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
+        spark_gc(spark)
         if turn + 1 < PIVOT_ROUNDS:
             some = _open_lists(some, labels)
-    discard(some)
+    discard(some), discard(shared)
     lists = _open_lists(lists, labels)
 
     # what still shares a list but no component: all pairs that size, position and bitmap allow
-    held = lists.join(texts.groupBy("node").agg(F.first("bits").alias("bits")), "node")
+    held = lists.join(texts.select("node", "bits"), "node")
     x = held.select("k", F.col("node").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("label").alias("la"), F.col("bits").alias("ba"))
     y = held.select("k", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("label").alias("lb"), F.col("bits").alias("bb"))
     both = F.col("na") + F.col("nb")
     left = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb"))
     apart = sum((F.bit_count(F.col("ba")[i].bitwiseXOR(F.col("bb")[i])) for i in range(BITMAP_WORDS)), F.lit(0))
     near = (F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & (4 * F.least("na", "nb") >= 3 * F.greatest("na", "nb")) & (7 * left >= 3 * both)
-    pairs = x.join(y, "k").where(near & (7 * apart <= both)).select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialise(_verify(pairs, texts, width), "set-links")
+    pairs = x.join(y, "k").where(near & (7 * apart <= both)).select("a", "b").distinct()
+    pairs = materialise(_untried(pairs, tried), "set-star")
+    more = _verify(pairs, texts, width)
     labels = materialise(connected_components(links.union(more)), "set-labels")
 
     least = rows.groupBy("node").agg(F.min("row_key").alias("least")).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     component = least.groupBy("label").agg(F.min("least").alias("component_id"))
     classes = least.join(component, "label").select("node", "component_id")
     out = rows.join(classes, "node", "left")
-    for df in (lists, texts):
+    for df in (lists, texts, pairs):
         discard(df)
     alone = F.col("n") == 0
     return out.select(F.col("row_key").alias(key), F.col("n").alias("n_shingles"), F.when(alone, F.col("row_key")).otherwise(F.col("component_id")).alias("component_id"))
 
 
+def _untried(pairs: DataFrame, tried: DataFrame) -> DataFrame:
+    """The pairs that were not compared, in either order."""
+    done = tried.select(F.least("a", "b").alias("lo"), F.greatest("a", "b").alias("hi"))
+    return pairs.withColumn("lo", F.least("a", "b")).withColumn("hi", F.greatest("a", "b")).join(done, ["lo", "hi"], "left_anti").select("a", "b")
+
+
 def _open_lists(lists: DataFrame, labels: DataFrame) -> DataFrame:
     """The lists that hold more than one component, with their members' labels."""
     marked = lists.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
