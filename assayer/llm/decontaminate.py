@@ -5,15 +5,22 @@ a window consists of benchmark words only, so nothing else can take part in a ma
 are searched backwards at once through wavelet ranks, the occurrences are located by sampled
 suffix positions, and overlapping ones are merged into removal spans.
 
-The benchmark is read in blocks of at most ``block_bytes`` of text, each of which is sent to the
-executors and searched in all texts; with more text there are more blocks in the same pass.
-Null and empty texts have no words and are never hit. Items without words have no windows.
-Repeated rows are judged alone. Extra columns of either table are ignored.
+The benchmark is read in blocks of at most ``block_bytes`` of text (or of one item that is longer),
+each of which is sent to the executors as text; these make its windows, and search them in all
+texts. With more text there are more blocks, one after another in the same pass. The driver holds
+the benchmark's text and nothing made from it.
+
+Null and empty texts have no words and are never hit. Items without words have no windows; those
+of an item without an id are hit, but name no item. Repeated rows and items are judged alone, and a
+word in several windows is hit once. Very long texts are a shard of their own. An empty benchmark
+hits nothing, an empty table gives an empty result. Extra columns of either table are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,25 +41,31 @@ NO_WORD[[*range(0x30, 0x3A), *range(0x61, 0x7B)]] = False
 
 
 class Windows:
-    """The distinct windows of some items, as rows of word numbers from 1, by length."""
+    """The distinct windows of some items, as rows of word numbers from 1, by length; ``names`` are the items' ids."""
 
-    def __init__(self, items: list[tuple[object, str | None]], width: int):
-        data, off = text_buffers(pa.array([t for _, t in items], pa.large_string()))
+    def __init__(self, ids: list[str | None], texts: pa.Array, width: int):
+        data, off = text_buffers(texts)
         block = Block(LOWER[data], off)
         starts, ends, doc = block.words(NO_WORD)
-        hashes = block.hashes(starts, ends)
-        self.vocabulary, number = np.unique(hashes, return_inverse=True)
-        self.names = sorted({str(k) for k, _ in items})
+        self.vocabulary, number = np.unique(block.hashes(starts, ends), return_inverse=True)
+        number = (number + 1).astype(np.int32)
+        self.names = sorted({k for k in ids if k is not None})
         at = {k: i for i, k in enumerate(self.names)}
-        bounds = np.searchsorted(doc, np.arange(len(items) + 1))
-        found: dict[int, dict[tuple, set[int]]] = {}
-        for i, (k, _) in enumerate(items):
-            own = (number[bounds[i] : bounds[i + 1]] + 1).tolist()
-            n = min(width, len(own))
-            for s in range(len(own) - n + 1 if n else 0):
-                found.setdefault(n, {}).setdefault(tuple(own[s : s + n]), set()).add(at[str(k)])
-        self.groups = [(n, np.array(list(f), np.int64), [sorted(x) for x in f.values()]) for n, f in sorted(found.items())]
-        self.shortest = min(found, default=0)
+        name = np.array([at.get(k, -1) for k in ids], np.int64)  # an item without an id has windows but no name
+        size = np.bincount(doc, minlength=len(ids))
+        first = np.searchsorted(doc, np.arange(len(ids)))
+        length = np.minimum(size, width)
+        self.groups = []
+        for n in np.unique(length[length > 0]).tolist():
+            own = np.flatnonzero(length == n)
+            count = size[own] - n + 1
+            item = np.repeat(own, count)
+            begin = first[item] + np.arange(len(item)) - np.repeat(np.cumsum(count) - count, count)
+            rows, which = np.unique(number[begin[:, None] + np.arange(n)], axis=0, return_inverse=True)
+            owners = np.unique(np.stack([which.ravel(), name[item]], axis=1), axis=0)
+            owners = owners[owners[:, 1] >= 0]
+            self.groups.append((n, rows, np.searchsorted(owners[:, 0], np.arange(len(rows) + 1)), owners[:, 1]))
+        self.shortest = min((g[0] for g in self.groups), default=0)
         self.filter = np.zeros(1 << 16, bool)
         self.filter[(self.vocabulary & np.uint64(0xFFFF)).astype(np.int64)] = True
 
@@ -109,8 +122,8 @@ class _Shard:
             symbols, docs, places = map(np.concatenate, (self.symbols, self.docs, self.places))
             index = FmIndex(symbols)
             cover = np.zeros(len(symbols) + 1, np.int64)
-            for n, patterns, owners in self.windows.groups:
-                lo, hi = index.search(patterns)
+            for n, patterns, edges, owners in self.windows.groups:
+                lo, hi = index.search(patterns.astype(np.int64))
                 count = hi - lo
                 pattern = np.repeat(np.arange(len(patterns)), count)
                 rows = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(lo, count)
@@ -118,7 +131,7 @@ class _Shard:
                 np.add.at(cover, at, 1)
                 np.add.at(cover, at + n, -1)
                 for d, p in set(zip(docs[at].tolist(), pattern.tolist(), strict=True)):
-                    items.setdefault(d, set()).update(owners[p])
+                    items.setdefault(d, set()).update(owners[edges[p] : edges[p + 1]].tolist())
             hit = np.cumsum(cover)[:-1] > 0
             edge = np.diff(np.concatenate([[0], hit.astype(np.int8), [0]]))
             for s, e in zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist(), strict=True):
@@ -136,8 +149,22 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def _search(windows: Windows, last: bool):
+_made: dict[str, Windows] = {}
+
+
+def _windows(name: str, sent, width: int) -> Windows:
+    """The windows of a block of items, made once a Python worker; the latest few are kept."""
+    if name not in _made:
+        while len(_made) > 3:
+            _made.pop(next(iter(_made)))
+        ids, texts = sent.value
+        _made[name] = Windows(ids, pa.array(texts, pa.large_string()), width)
+    return _made[name]
+
+
+def _search(name: str, sent, width: int, last: bool):
     def flush(shard: _Shard) -> Iterator[pa.RecordBatch]:
+        windows = shard.windows
         n_words, spans, items = shard.spans()
         at = 0
         for batch in shard.batches:
@@ -152,6 +179,7 @@ def _search(windows: Windows, last: bool):
             at += n
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        windows = _windows(name, sent, width)
         shard = _Shard(windows)
         for batch in batches:
             if batch.num_rows:
@@ -168,11 +196,11 @@ def _search(windows: Windows, last: bool):
 _SPANS = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
 
 
-def benchmark_spans(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = 13, block_bytes: int = 16 << 20) -> DataFrame:
+def benchmark_spans(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text", width: int = 13, block_bytes: int = 4 << 20) -> DataFrame:
     """One row a document: key, n_words, items (ids as sorted strings) and merged spans of word numbers [start, stop)."""
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)[key]
-    items = benchmark.select(F.col(item_key).cast("string").alias("k"), F.col(item_text).cast("string").alias("t")).where("k is not null and t is not null")
+    items = benchmark.select(F.col(item_key).cast("string").alias("k"), F.col(item_text).cast("string").alias("t")).where("t is not null")
     size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, math.ceil(size / block_bytes))
     out = docs.select(
@@ -180,10 +208,11 @@ def benchmark_spans(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id
         F.array().cast("array<string>").alias("items"), F.array().cast("array<struct<start:bigint,stop:bigint>>").alias("spans"),
     )
     for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("k"), F.lit(blocks)) == b)
-        windows = Windows([(r["k"], r["t"]) for r in part.collect()], width)
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("k", "t"), F.lit(blocks)) == b)
+        rows = part.collect()  # about ``block_bytes`` of text
+        sent = docs.sparkSession.sparkContext.broadcast(([r["k"] for r in rows], [r["t"] for r in rows]))
         schema = f"row_key {kind}, text string, n_words long, items array<string>, spans array<struct<start:bigint,stop:bigint>>"
-        out = out.mapInArrow(_search(windows, b == blocks - 1), schema)
+        out = out.mapInArrow(_search(uuid.uuid4().hex, sent, width, b == blocks - 1), schema)
     return out.select(F.col("row_key").alias(key), "n_words", "items", "spans")
 
 

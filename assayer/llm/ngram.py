@@ -254,8 +254,10 @@ class Trie:
             a.tofile(path)
             return np.memmap(path, a.dtype, "r")
 
+        # the trigrams come distinct and sorted by v, u, w, so that only the (v, w) pairs are sorted here
         self.wide = int(max(w.max(initial=0), u.max(initial=0))) + 1
-        self.contexts, vi = np.unique(v, return_inverse=True)
+        new = np.append(True, v[1:] != v[:-1]) if len(v) else np.zeros(0, bool)
+        self.contexts, vi = v[new], np.cumsum(new) - 1
         pair, where = np.unique(vi * self.wide + w, return_inverse=True)
         self.successors = EliasFano.build(pair, len(self.contexts) * self.wide + 1, store)
         self.second = store(quantise(np.bincount(where, weights=count, minlength=len(pair))))
@@ -263,11 +265,11 @@ class Trie:
         self.pointers = EliasFano.build(starts, len(pair) + 1, store)
         rank = where - starts[vi]
         self.span = int(np.diff(starts).max(initial=0)) + 1
-        before, bi = np.unique(vi * self.wide + u, return_inverse=True)
+        new[1:] |= u[1:] != u[:-1]
+        before = (vi * self.wide + u)[new]
         self.pairs = EliasFano.build(before, len(self.contexts) * self.wide + 1, store)
-        last, li = np.unique(bi * self.span + rank, return_inverse=True)
-        self.last = EliasFano.build(last, len(before) * self.span + 1, store)
-        self.third = store(quantise(np.bincount(li, weights=count, minlength=len(last))))
+        self.last = EliasFano.build((np.cumsum(new) - 1) * self.span + rank, len(before) * self.span + 1, store)
+        self.third = store(quantise(count))
 
     def counts(self, v: np.ndarray, u: np.ndarray, w: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Quantised c(vw) and c(uvw)."""
@@ -294,15 +296,21 @@ def _count_trigrams(table: pa.Table) -> pa.Table:
     for b in table.column("blob").to_pylist():
         turn, u, w, seen = _unpack(b)
         sent.append((np.cumsum(turn.astype(np.int64)), u.astype(np.int64), w.astype(np.int64), seen.astype(np.int64)))
+    edges = np.cumsum([len(x[0]) for x in sent])[:-1]
     v, u, w, seen = map(np.concatenate, zip(*sent, strict=True))
+    del sent
+    order = np.lexsort((w, u, v))
+    v, u, w = v[order], u[order], w[order]
+    new = np.append(True, (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1]))
+    at = np.empty(len(v), np.int64)
+    at[order] = np.cumsum(new) - 1
+    v, u, w, seen = v[new], u[new], w[new], np.bincount(at, weights=seen).astype(np.int64)
     some = seen > 0
-    answers = []
     with tempfile.TemporaryDirectory() as folder:
         trie = Trie(v[some], u[some], w[some], seen[some], folder)
-        del v, u, w, seen, some
-        for a, b, c, _ in sent:
-            answers.append(_pack(*trie.counts(a, b, c)))
+        two, three = trie.counts(v, u, w)
         del trie
+    answers = [_pack(two[i], three[i]) for i in np.split(at, edges)]
     return pa.table({"block": table.column("block"), "part": table.column("part"), "blob": pa.array(answers, pa.binary())})
 
 

@@ -1,13 +1,15 @@
 """Quality rules as a short-circuit cascade.
 
 Each rule has a kernel over a batch of texts that says which texts it rejects. ``plan_cascade``
-times the kernels and counts their rejections on a bounded sample, and orders the rules by
-rejections per second; ``apply_cascade`` then runs them in that order, each over the texts that
-are still alive. The verdict is the conjunction of all rules, so the order changes the cost and
-never the result.
-
-Null and empty texts have no words and are rejected by the word-count rule. Repeated rows are
-judged alone; extra columns are kept; an empty table gives an empty table.
+times the kernels and counts their rejections on the executors, on a sample by hash over all
+partitions, and orders the rules by rejections per second; ``apply_cascade`` then runs them in that
+order, each over the texts that are still alive. The verdict is the conjunction of all rules, so
+the order changes the cost and never the result. ``quality_report`` needs the base counts of every
+text; the rules beyond them run over the texts that the base rules left only.
+
+Null and empty texts have no words and are rejected by the word-count rule. Very long texts are
+judged as a whole. Repeated rows are judged alone; lines that tie count from the second on. Extra
+columns are kept (a column named like the flag may not be among them); an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -141,44 +143,51 @@ def _subset(block: Block, alive: np.ndarray) -> Block:
     return Block(block.data[keep], np.append(0, np.cumsum(lengths[alive])))
 
 
-def verdicts(block: Block, rules: tuple[Rule, ...], measures: Measures | None = None) -> np.ndarray:
+def verdicts(block: Block, rules: tuple[Rule, ...]) -> np.ndarray:
     """True for the texts that no rule rejects; later rules see only what earlier ones left."""
-    alive = np.ones(block.docs, bool)
-    m = measures or Measures(block)
+    alive, at, m = np.ones(block.docs, bool), np.arange(block.docs), Measures(block)
     for rule in rules:
-        if measures is None and alive.mean() < 0.5 and m.block.docs > 8:
-            m = Measures(_subset(block, alive))
-        if m.block.docs == block.docs:
-            alive &= ~rule.rejects(m)
-        else:
-            alive[alive] = ~rule.rejects(m)
-            m = Measures(_subset(block, alive))
-        if not alive.any():
+        left = alive[at]
+        if 2 * left.sum() < len(at):
+            at, m = at[left], Measures(_subset(block, alive))
+        if not len(at):
             break
+        alive[at] &= ~rule.rejects(m)
     return alive
 
 
 def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", sample_rows: int = 500) -> tuple[Rule, ...]:
-    """Rules by rejections per second of their kernels, measured on at most ``sample_rows`` texts.
+    """Rules by rejections per second of their kernels, measured on about ``sample_rows`` texts that a hash draws from all partitions.
 
-    The sample fixes an execution order only; it never decides about a document.
+    The sample fixes an execution order only; it never decides about a document. Texts stay on the executors.
     """
-    sample = [r[0] for r in docs.select(F.col(text).cast("string")).take(sample_rows)]
-    worth: dict[str, float] = {}
-    for rule in rules:
-        seconds, rejected = 0.0, 0
-        for block in _blocks(pa.array(sample, pa.large_string())):
-            began = time.perf_counter()
-            rejected += int(rule.rejects(Measures(block)).sum())
-            seconds += time.perf_counter() - began
-        worth[rule.name] = (rejected + 0.5) / (seconds + 1e-6)
+    ship(docs.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seconds, rejected = [0.0] * len(rules), [0] * len(rules)
+        for batch in batches:
+            for block in _blocks(batch.column(0)):
+                for i, rule in enumerate(rules):
+                    began = time.perf_counter()
+                    rejected[i] += int(rule.rejects(Measures(block)).sum())
+                    seconds[i] += time.perf_counter() - began
+        yield pa.RecordBatch.from_arrays([pa.array([r.name for r in rules]), pa.array(seconds), pa.array(rejected, pa.int64())], names=["rule", "seconds", "rejected"])
+
+    one_in = max(1, docs.count() // sample_rows)
+    drawn = docs.select(F.col(text).cast("string").alias("text")).where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(one_in)) == 0)
+    sums = drawn.mapInArrow(run, "rule string, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected"))
+    worth = {r.name: 0.0 for r in rules}
+    for r in sums.collect():  # one row a rule
+        worth[r["rule"]] = (r["rejected"] + 0.5) / (r["seconds"] + 1e-6)
     return tuple(sorted(rules, key=lambda r: -worth[r.name]))
 
 
 def apply_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "text", flag: str = "kept") -> DataFrame:
     """``docs`` with a boolean column ``flag``; the order of ``rules`` is the order of the cascade."""
     ship(docs.sparkSession)
-    schema = T.StructType([f for f in docs.schema.fields if f.name != flag] + [T.StructField(flag, T.BooleanType())])
+    if flag in docs.columns:
+        raise ValueError(f"the documents have a column {flag}; name another flag")
+    schema = T.StructType([f for f in docs.schema.fields] + [T.StructField(flag, T.BooleanType())])
     names = [f.name for f in schema.fields[:-1]]
     at = names.index(text)
 
@@ -197,7 +206,7 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str =
     base = [r for r in rules if r.name in BASE_RULES]
     rest = tuple(r for r in rules if r.name not in BASE_RULES)
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
-    schema = f"{key} long, " + ", ".join(f"{c} long" for c in columns) + ", base_failed boolean, kept boolean"
+    schema = f"{key} {dict(docs.dtypes)[key]}, " + ", ".join(f"{c} long" for c in columns) + ", base_failed boolean, kept boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -209,8 +218,11 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str =
                 failed = np.zeros(block.docs, bool)
                 for rule in base:
                     failed |= rule.rejects(m)
-                parts.append([*(getattr(m, c) for c in columns), failed, ~failed & verdicts(block, rest, m)])
+                kept = ~failed
+                if kept.any():
+                    kept[kept] = verdicts(_subset(block, kept), rest)
+                parts.append([*(getattr(m, c) for c in columns), failed, kept])
             arrays = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[key, *columns, "base_failed", "kept"])
 
-    return docs.select(F.col(key).cast("long").alias(key), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)

@@ -50,7 +50,7 @@ BUCKET_POSTINGS, HOT_LIST = 400_000, 50_000
 SALTED = 1 << 15
 MAX_LIGHT = 40
 #: 64-bit words of a set's parity bitmap, and rounds of pivots before the remaining pairs are enumerated.
-BITMAP_WORDS, PIVOT_ROUNDS = 8, 2
+BITMAP_WORDS, PIVOT_ROUNDS = 4, 2
 #: Bits of the filter of classes that share a list (4 MB), and text bytes for each bucket of the class texts.
 FILTER_BITS, TEXT_BUCKET_BYTES = 25, 64 << 20
 #: The pivot rounds look at two in so many lists (subset keys are odd, single ones even).

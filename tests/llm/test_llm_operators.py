@@ -57,7 +57,7 @@ def empty(spark):
 
 
 def test_decontamination(spark, docs, corpus, empty):
-    items = [(1, " ".join(corpus[2][1].split()[:16])), (2, "A, b"), (3, None), (4, "..."), (11, corpus[3][1])]
+    items = [(1, " ".join(corpus[2][1].split()[:16])), (2, "A, b"), (3, None), (4, "..."), (11, corpus[3][1]), (None, " ".join(corpus[7][1].split()[:14])), (12, "A, b")]
     bench = spark.createDataFrame(items, "item_id long, text string")
     word = re.compile("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+")
     win: dict = {}
@@ -65,7 +65,7 @@ def test_decontamination(spark, docs, corpus, empty):
         w = word.findall(low(t))
         n = min(13, len(w))
         for i in range(len(w) - n + 1 if n else 0):
-            win.setdefault(tuple(w[i : i + n]), set()).add(str(k))
+            win.setdefault(tuple(w[i : i + n]), set()).update(() if k is None else {str(k)})
     want = []
     for k, t, *_ in corpus:
         w, hit, own = word.findall(low(t)), set(), set()
@@ -314,7 +314,8 @@ def test_quality_report(docs, empty):
     rows = {r["doc_id"]: r for r in quality.quality_report(docs).collect()}
     assert rows[100]["n_words"] == 0 and rows[100]["base_failed"] and not rows[100]["kept"]
     assert rows[106]["n_repeat_words"] == 30000 and rows[2]["n_dup_lines"] == 0
-    kept = quality.apply_cascade(docs, quality.plan_cascade(docs))
+    assert [r.name for r in quality.plan_cascade(empty)] == [r.name for r in quality.RULES]
+    kept = quality.apply_cascade(docs, quality.plan_cascade(docs, sample_rows=20))
     assert {r["doc_id"] for r in kept.where("kept").collect()} == {k for k, r in rows.items() if r["kept"]}
     assert kept.columns == [*docs.columns, "kept"] and quality.quality_report(empty).count() == 0
 
@@ -385,4 +386,24 @@ def test_passages(spark, empty):
     assert set(got) == want | {203, 204}
     assert got[203]["class_id"] == 203 and got[204]["class_id"] == 203 and got[0]["class_id"] == 0
     assert got[17]["spans"].startswith("9:")
+
+
+def test_near_repeats_are_found(spark):
+    """Recall of passages of similarity 0.75 (a window of 50 words with one word changed), with a line that many texts share inside."""
+    r = random.Random(8)
+    w = lambda n: [f"w{r.randint(0, 99999)}" for _ in range(n)]
+    line, rows, pairs = w(12), [], []
+    for i in range(0, 120, 2):
+        p = w(24) + line + w(24)
+        q = list(p)
+        q[5] = "changed"
+        rows += [(i, " ".join(w(30) + p + w(30))), (i + 1, " ".join(w(40) + q + w(20)))]
+        pairs.append((i, i + 1))
+    rows += [(1000 + i, " ".join(w(30) + line + w(40))) for i in range(100)]
+    got = {x["doc_id"]: x["class_id"] for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(got.get(a) == a and got.get(b) == a for a, b in pairs) >= 0.9 * len(pairs)
+    assert all(k < 1000 for k in got)  # the common line alone is no passage
+
+
+def test_passages_of_an_empty_table(spark, empty):
     assert passages.repeated_passages(empty).count() == 0
