@@ -151,7 +151,7 @@ def postings(docs: DataFrame, sketch: np.ndarray, boundary: int, buckets: int, t
     def blobs(keys, node, n, pos, bucket) -> Iterator[pa.RecordBatch]:
         order = np.argsort(bucket, kind="stable")
         edges = np.flatnonzero(np.diff(bucket[order])) + 1
-        groups = np.split(order, edges)
+        groups = [g for g in np.split(order, edges) if len(g)]  # none if no shingle is in two sets
         out = []
         for g in groups:
             nodes, index = np.unique(node[g], return_inverse=True)
