@@ -11,10 +11,13 @@ IMAGE_SUFFIXES = (".png", ".jpg", ".jpeg", ".bmp", ".tif", ".tiff", ".webp", ".p
 VOLUME_SUFFIXES = (".nii", ".nii.gz", ".mha", ".mhd", ".nrrd", ".dcm")
 
 
-def case_token(text: Column, marks: tuple[str, ...] = ("copy", "dup", "aug", "flip", "rot[0-9]*")) -> Column:
-    """A comparable identifier: lower case, one trailing derivation mark removed, letters and digits only."""
-    mark = f"(?:[ _-]?(?:{'|'.join(marks)}))$"
-    return F.regexp_replace(F.regexp_replace(F.lower(text), mark, ""), "[^a-z0-9]", "")
+#: Marks at the end of an identifier that name a derivation of it.
+DERIVED = ("_copy", "-copy", "copy", "duplicate", "dup", "aug", "augment", "flip", "rot[0-9]+")
+
+
+def case_token(text: Column, marks: tuple[str, ...] = DERIVED) -> Column:
+    """A comparable identifier: trimmed lower case, one trailing derivation mark removed, letters and digits only."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.trim(text)), f"(?:{'|'.join(marks)})$", ""), "[^a-z0-9]", "")
 
 
 def suffix(path: Column) -> Column:
@@ -80,11 +83,42 @@ def is_chinese(text: Column) -> Column:
     return text.rlike(r"[一-鿿]")
 
 
+def numbering(labels: Column) -> Column:
+    """A struct of an array of label texts: schema (numeric, primary, mixed, nonstandard or none), numeric and primary labels, and the invalid ones.
+
+    Digits make a label numeric whatever their value; numbers beyond 1 to 32 and texts beyond A to T are invalid.
+    """
+    values = F.array_distinct(F.filter(F.transform(labels, lambda x: F.trim(x)), lambda x: x.isNotNull() & (x != "")))
+    numeric, primary = F.filter(values, lambda x: x.rlike("^[0-9]+$")), F.filter(values, lambda x: x.rlike("^[A-T]$"))
+    ordered = F.transform(F.array_sort(F.transform(numeric, lambda x: F.struct(x.try_cast("decimal(38,0)").alias("v"), x.alias("t")))), lambda s: s["t"])
+    invalid = F.array_sort(F.filter(values, lambda x: ~x.rlike("^(?:[1-9]|[12][0-9]|3[0-2]|[A-T])$")))
+    n, p = F.size(numeric) > 0, F.size(primary) > 0
+    schema = F.when(n & p, "mixed").when(n, "numeric").when(p, "primary").when(F.size(values) > 0, "nonstandard").otherwise("none")
+    return F.struct(schema.alias("schema"), ordered.alias("numeric_labels"), F.array_sort(primary).alias("primary_labels"), invalid.alias("invalid_labels"))
+
+
 def numbering_schema(labels: Column) -> Column:
-    """numeric (1 to 32), primary (A to T), mixed, nonstandard or none, from an array of label texts."""
-    numeric = F.exists(labels, lambda x: x.rlike("^(?:[1-9]|[12][0-9]|3[0-2])$"))
-    primary = F.exists(labels, lambda x: x.rlike("^[A-T]$"))
-    return F.when(F.size(labels) == 0, "none").when(numeric & primary, "mixed").when(numeric, "numeric").when(primary, "primary").otherwise("nonstandard")
+    return numbering(labels)["schema"]
+
+
+def content_sha1(content: Column, size: Column, most: int = 128 << 20) -> Column:
+    """sha1 of a content of at most ``most`` bytes, else null."""
+    return F.when(size <= most, F.sha1(content))
+
+
+def iso_seconds(moment: Column) -> Column:
+    """A time stamp as ISO text with seconds and offset, in the session's zone."""
+    return F.date_format(moment, "yyyy-MM-dd'T'HH:mm:ssxxx")
+
+
+def elapsed_seconds(start: Column, end: Column, places: int = 3) -> Column:
+    return F.round((F.unix_micros(end) - F.unix_micros(start)) / 1e6, places)
+
+
+def list_preview(items: Column, most: int = 20) -> Column:
+    """The first ``most`` items as text, with the number of those left out."""
+    shown = F.array_join(F.slice(items, 1, most), ", ")
+    return F.when(F.size(items) > most, F.concat(shown, F.lit(" (+"), (F.size(items) - most).cast("string"), F.lit(" more)"))).otherwise(shown)
 
 
 def partial_sha1(content: Column, size: Column, edge: int = 1 << 20) -> Column:

@@ -84,7 +84,7 @@ def dataset_issues(cases: DataFrame, expected_dimensions: int = 2, needs_spacing
 #: Input of ``cohort_findings``: one row a volume.
 VOLUMES = """case_id string, split string, n_images int, image_ok boolean, dimensions int, spacing array<double>, shape array<int>, transform_codes int,
 orientation string, header_spacing array<double>, patient_id string, study_uid string, series_uid string, modality string, foreground_ratio double, dynamic_range double, std double,
-tail_ratio double, slice_delta_p95 double, slice_delta_mean double, edge_slices_empty boolean, n_labels int, label_ok boolean, label_shape array<int>, label_spacing array<double>,
+tail_ratio double, slice_delta_p95 double, zero_fraction double, touch_faces int, n_labels int, label_ok boolean, label_shape array<int>, label_spacing array<double>,
 label_orientation string, label_nonzero double, label_values array<double>, label_integer boolean, allowed_values array<double>, file_sha1 string, sample_hash string"""
 
 
@@ -92,6 +92,11 @@ def _six(a: Column) -> Column:
     return F.transform(a, lambda x: F.round(x, 6))
 
 
+#: Bounds of the volume rules.
+MIN_FOREGROUND, MAX_TAIL, MIN_MOTION, MOTION_SHARE = 0.002, 0.55, 1.0, 0.3
+TOUCHED_FACES, ZERO_SHARE, FEW_FOREGROUND, MUCH_FOREGROUND = 5, 0.05, 0.08, 0.95
+
+
 def cohort_rules(labels_required: bool = False) -> list[tuple[str, str, str, str, str, str, Column]]:
     """(code, domain, severity, confidence, impact, status, condition); conditions that do not apply are null."""
     ok, labelled = F.col("image_ok"), F.col("image_ok") & F.col("label_ok")
@@ -107,10 +112,10 @@ def cohort_rules(labels_required: bool = False) -> list[tuple[str, str, str, str
         ("missing_key_metadata", "metadata", "moderate", "high", "moderate", "confirmed", ok & (F.col("spacing").isNull() | F.col("shape").isNull())),
         ("missing_modality_metadata", "metadata", "moderate", "high", "moderate", "confirmed", ok & F.col("modality").isNull()),
         ("empty_or_corrupt_volume", "volume_consistency", "severe", "high", "major", "confirmed", ok & (F.col("dynamic_range") <= 0)),
-        ("possible_truncation", "volume_consistency", "moderate", "medium", "moderate", "suspected", ok & F.col("edge_slices_empty")),
-        ("very_low_foreground_ratio", "volume_consistency", "moderate", "medium", "moderate", "suspected", ok & (F.col("foreground_ratio") < 0.01)),
-        ("possible_metal_artifact", "image_quality", "moderate", "low", "moderate", "suspected", ok & (F.col("tail_ratio") > 1.5)),
-        ("possible_motion_or_slice_inconsistency", "image_quality", "moderate", "low", "moderate", "suspected", ok & (F.col("slice_delta_p95") > 4 * F.col("slice_delta_mean"))),
+        ("possible_truncation", "volume_consistency", "moderate", "medium", "moderate", "suspected", ok & (F.col("touch_faces") >= TOUCHED_FACES) & ((F.coalesce("zero_fraction", F.lit(0.0)) > ZERO_SHARE) | ~F.coalesce("foreground_ratio", F.lit(0.0)).between(FEW_FOREGROUND, MUCH_FOREGROUND))),
+        ("very_low_foreground_ratio", "volume_consistency", "moderate", "medium", "moderate", "suspected", ok & (F.coalesce("foreground_ratio", F.lit(0.0)) < MIN_FOREGROUND)),
+        ("possible_metal_artifact", "image_quality", "moderate", "low", "moderate", "suspected", ok & (F.col("tail_ratio") > MAX_TAIL)),
+        ("possible_motion_or_slice_inconsistency", "image_quality", "moderate", "low", "moderate", "suspected", ok & (F.col("slice_delta_p95") > F.greatest(F.lit(MIN_MOTION), MOTION_SHARE * F.coalesce("dynamic_range", F.lit(0.0))))),
         ("missing_annotation_volume", "label_awareness", must[0], "high", must[1], "confirmed", F.col("n_labels") == 0),
         ("multiple_label_files", "label_awareness", "moderate", "high", "moderate", "confirmed", F.col("n_labels") > 1),
         ("unreadable_label", "label_awareness", "severe", "high", "major", "confirmed", (F.col("n_labels") > 0) & ~F.col("label_ok")),

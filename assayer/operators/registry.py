@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-MAX_PREFIX = 64
-
-
 def exact_or_prefix(left: DataFrame, left_id: str, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
     """Equal keys, else keys of which one begins with the other; one match a left row (exact first, then smallest).
 
-    Prefixes are joined by equality: each side meets the other's key prefixes of its own length,
-    so there is no product of the two sides.
+    Keys of any length: a key is cut only at lengths that keys of the other side have, so each row makes at
+    most as many prefixes as there are distinct lengths, and all joins are by equality.
     """
-    prefixes = lambda k: F.transform(F.sequence(F.lit(1), F.least(F.length(k), F.lit(MAX_PREFIX))), lambda n: F.left(k, n))
-    keys = right.select(right_key).distinct()
     l, l_key, r_key = left.where(F.length(left_key) > 0), F.col(left_key), F.col(right_key)
-    longer = l.withColumn("p_", F.explode(prefixes(l_key))).join(keys.withColumn("p_", r_key), "p_").drop("p_")
-    shorter = keys.withColumn("p_", F.explode(prefixes(r_key))).join(l.withColumn("p_", l_key), "p_").drop("p_")
+    keys = right.where(F.length(right_key) > 0).select(right_key).distinct()
+
+    def cut(df: DataFrame, key: Column, other: DataFrame, other_key: Column) -> DataFrame:
+        lengths = other.select(F.length(other_key).alias("n_")).distinct()
+        return df.withColumn("own_", F.length(key)).join(F.broadcast(lengths), F.col("own_") >= F.col("n_")).withColumn("p_", F.left(key, F.col("n_"))).drop("own_", "n_")
+
+    longer = cut(l, l_key, keys, r_key).join(keys.withColumn("p_", r_key), "p_")
+    shorter = cut(keys, r_key, l, l_key).join(l.withColumn("p_", l_key), "p_")
     both = longer.select(left_id, left_key, right_key).union(shorter.select(left_id, left_key, right_key)).distinct()
     first = F.row_number().over(Window.partitionBy(left_id).orderBy(l_key != r_key, right_key))
     return both.withColumn("r_", first).where("r_ = 1").withColumn("kind", F.when(l_key == r_key, "exact").otherwise("prefix")).drop("r_")
@@ -99,9 +100,9 @@ def annotated(cases: DataFrame, sources: list[DataFrame], key: str = "case_id",
     return cases.join(bags, key, "left").withColumn("annotations", F.coalesce("annotations", F.array().cast(bags.schema["annotations"].dataType)))
 
 
-def assembled(tagged: DataFrame, key: str, role: str, value: str, roles: list[str]) -> DataFrame:
-    """One row a case from (key, role, value) rows of all sources: one shuffle instead of a chain of outer joins; the last value by order wins."""
-    return tagged.groupBy(key).pivot(role, roles).agg(F.max(value))
+def assembled(tagged: DataFrame, key: str, role: str, value: str, roles: list[str], order: str | None = None) -> DataFrame:
+    """One row a case from (key, role, value) rows of all sources: one shuffle instead of a chain of outer joins; the last value by ``order`` wins, else the largest."""
+    return tagged.groupBy(key).pivot(role, roles).agg(F.max_by(value, order) if order else F.max(value))
 
 
 def coverage_gaps(required: dict[str, bool], provided: set[str]) -> list[str]:

@@ -76,12 +76,12 @@ def allowed_label_values(t) -> DataFrame:
 
 
 @query(r"""
-WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(lower(left(text, 40)), '(?:[ _-]?(?:copy|dup|aug|flip|rot[0-9]*))$', ''), '[^a-z0-9]', '', 'g') AS token FROM documents)
+WITH n AS (SELECT doc_id, regexp_replace(regexp_replace(lower(trim(lang || ' ' || source || '_copy')), '(?:_copy|-copy|copy|duplicate|dup|aug|augment|flip|rot[0-9]+)$', ''), '[^a-z0-9]', '', 'g') AS token FROM documents)
 SELECT token, count(*) AS n_members, min(doc_id) AS first_member FROM n WHERE token <> '' GROUP BY token HAVING count(*) > 1""")
 def normalized_identifier_groups(t) -> DataFrame:
     from assayer.functions import case_token
 
-    docs = t("documents").withColumn("token", case_token(F.substring("text", 1, 40)))
+    docs = t("documents").withColumn("token", case_token(F.concat("lang", F.lit(" "), "source", F.lit("_copy"))))
     return dedup.duplicate_groups(docs.where("token <> ''"), F.col("token"), "doc_id").select(F.col("key").alias("token"), "n_members", "first_member")
 
 

@@ -11,11 +11,11 @@ from assayer.plans.curation import _SPLIT, _split, query
 
 
 @query(f"""
-WITH s AS (SELECT DISTINCT {_SPLIT} AS split, lang || '/' || n_chars % 50 AS case_id FROM documents WHERE doc_id < 400)
+WITH s AS (SELECT DISTINCT {_SPLIT} AS split, sha1(text) AS case_id FROM documents)
 SELECT case_id, 'train-val' AS pair FROM s WHERE split = 'train' AND case_id IN (SELECT case_id FROM s WHERE split = 'val')
 UNION ALL SELECT case_id, 'train-test' FROM s WHERE split = 'train' AND case_id IN (SELECT case_id FROM s WHERE split = 'test')""")
 def split_overlap(t) -> DataFrame:
-    return dedup.split_overlap(t("documents").where("doc_id < 400").select(_split().alias("split"), F.concat_ws("/", "lang", (F.col("n_chars") % 50).cast("string")).alias("case_id")))
+    return dedup.split_overlap(t("documents").select(_split().alias("split"), F.sha1(F.col("text").cast("binary")).alias("case_id")))
 
 
 @query("""

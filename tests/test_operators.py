@@ -1,11 +1,12 @@
 import random
 
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from assayer import functions as fn
-from assayer.operators import cohort, dedup, planner, registry, splits
+from assayer.operators import audits, cohort, dedup, planner, registry, splits
 from assayer.operators.rules import Rule, bbox_invalid, case_status, cohort_status, issues, polygon_issue
 
 
@@ -94,15 +95,79 @@ def test_registry(spark):
 def test_planner_fails_closed(spark):
     assert planner.validate_decision({"decision": "execute", "confidence": True}) == ["bad_confidence", "no_route"]
     assert planner.validate_decision({"decision": "execute", "route_id": "r", "confidence": 0.5, "parameters": {"p": "../x"}}) == ["bad_path:p"]
-    plans = spark.createDataFrame([(True, [], False, True, True), (None, [], False, True, True), (True, [], False, None, True)], "supported boolean, clarification_fields array<string>, external boolean, gate_permitted boolean, executable boolean")
-    assert [r["action"] for r in planner.normalised_action(plans).collect()] == ["execute", "reject", "blocked"]
 
 
-def test_package_contract(spark):
-    schema = "split string, case_id string, kind string, path string, status string, shape array<int>, label_values array<int>, pixel_sha256 string, patient_id string"
-    rows = [
-        ("train", "a", "image", "ta", "ok", [16, 16], None, "h1", "P1"), ("train", "a", "mask", "tam", "ok", [8, 8], [0, 255], "m", None),
-        ("test", "a", "image", "sa", "ok", [16, 16], None, "h1", "P1"), ("val", "b", "mask", "vb", "unreadable", None, None, None, None),
+PLAN = dict(run_status="ok", online_required=False, online_ok=None, native_preflight=None, preflight=None, selected_id="r1", selected_status="executable", executable=True, dataset="d", task="t", gate_route="r1", gate_status="route_ready", gate_permission=True, lookup_done=False, lookup_match=None)
+PLAN_SCHEMA = "run_status string, online_required boolean, online_ok boolean, native_preflight string, preflight string, selected_id string, selected_status string, executable boolean, dataset string, task string, gate_route string, gate_status string, gate_permission boolean, lookup_done boolean, lookup_match string"
+
+
+@pytest.mark.parametrize("change, want", [
+    ({}, ("ok", "route_ready", True, None)), ({"gate_status": "block", "gate_permission": False}, ("ok", "block", False, None)), ({"gate_status": "clarify", "gate_permission": False}, ("ok", "clarify", False, None)),
+    ({"gate_status": "ready"}, ("invalid", None, None, "preflight_not_established")), ({"gate_route": "r2"}, ("invalid", None, None, "preflight_route_mismatch")), ({"gate_route": None}, ("invalid", None, None, "preflight_route_mismatch")),
+    ({"preflight": "a", "native_preflight": "b"}, ("invalid", None, None, "preflight_conflicts_with_native_plan")), ({"run_status": "timeout"}, ("timeout", None, None, None)),
+    ({"online_required": True}, ("error", None, None, "required_online_call_failed")), ({"selected_id": "platform_clarification", "dataset": "unknown"}, ("ok", "clarify", False, None)),
+    ({"selected_id": "platform_clarification"}, ("invalid", None, None, "clarification_fields_not_structured")),
+    ({"executable": False, "lookup_done": True}, ("ok", "no_registered_route", False, None)), ({"executable": False}, ("invalid", None, None, "no_unambiguous_primary_action")),
+    ({"executable": False, "lookup_done": True, "task": "unknown"}, ("invalid", None, None, "no_unambiguous_primary_action")),
+])
+def test_plan_actions(spark, change, want):
+    row = planner.normalised_action(spark.createDataFrame([tuple((PLAN | change).values())], PLAN_SCHEMA)).first()
+    assert (row["result_status"], row["action"], row["permission"], row["error"]) == want
+    assert row["route_id"] == ("r1" if want[1] == "route_ready" else None)
+
+
+def test_run_states(spark):
+    names = "status string, launcher string, code int, pid int, alive boolean, missing int, declared int, expected int, readable int"
+    cases = [
+        ((None, None, 0, None, None, 0, None, 0, 0), "submitted"), (("failed", None, 0, 1, True, 0, None, 0, 0), "failed"), (("interrupted", None, 0, 1, True, 0, None, 0, 0), "interrupted"),
+        (("completed", None, 0, None, None, 2, None, 0, 0), "incomplete_artifacts"), (("completed", None, 0, None, None, 0, None, 0, 3), "completed"), (("completed", None, 0, None, None, 0, 4, 0, 3), "incomplete_artifacts"),
+        (("completed", None, 0, None, None, 0, 2, 0, 3), "incomplete_artifacts"), (("completed", None, 0, None, None, 0, 3, 5, 3), "incomplete_artifacts"), (("running", None, 0, 7, True, 0, None, 0, 0), "running"),
+        (("running", None, 0, 7, False, 0, None, 0, 0), "failed"), (("running", None, 0, 7, None, 0, None, 0, 0), "unknown"), (("running", None, 0, None, None, 0, None, 0, 0), "unknown"),
+        ((None, "submitted", 1, None, None, 0, None, 0, 0), "failed"), ((None, "interrupted", 0, None, None, 0, None, 0, 0), "interrupted"),
     ]
-    codes = {r["code"] for r in planner.package_issues(spark.createDataFrame(rows, schema)).collect()}
-    assert codes == {"unreadable_file", "incomplete_pairing", "orphan_mask", "image_mask_shape_mismatch", "invalid_label_values", "cross_split_image_duplicate", "cross_split_patient_duplicate"}
+    df = spark.createDataFrame([c for c, _ in cases], names)
+    state = planner.run_state(*[F.col(n.split()[0]) for n in names.split(", ")])
+    assert [r[0] for r in df.select(state).collect()] == [w for _, w in cases]
+
+
+ASSETS = "split string, case_id string, kind string, path string, status string, shape array<int>, label_values array<int>, pixel_sha256 string, patient_id string"
+PAIR = [("train", "a", "image", "imagesTr/a.png", "ok", [16, 16], None, "h1", None), ("train", "a", "mask", "labelsTr/a.png", "ok", [16, 16], [0, 1], "m", None)]
+OTHER = ("test", "a", "image", "imagesTs/a.png", "ok", [16, 16], None, "h2", None)
+
+
+@pytest.mark.parametrize("rows, codes", [
+    ([*PAIR, OTHER], set()), ([PAIR[0]], {"missing_masks", "missing_training_pairs"}), ([PAIR[0], (*PAIR[1][:4], "unreadable", None, None, None, None)], {"unreadable_file", "image_mask_shape_mismatch"}),
+    ([PAIR[0], (*PAIR[1][:5], [8, 8], [1], "m", None)], {"image_mask_shape_mismatch"}), ([PAIR[0], (*PAIR[1][:6], [255], "m", None)], {"invalid_label_values"}),
+    ([*PAIR, ("train", "b", "image", "imagesTr/b.png", "ok", [16, 16], None, "h3", None)], {"incomplete_pairing"}), ([*PAIR, (*OTHER[:7], "h1", None)], {"cross_split_image_duplicate"}),
+    ([(*PAIR[0][:8], "P1"), PAIR[1], (*OTHER[:8], "P1")], {"cross_split_patient_duplicate"}), ([*PAIR, ("train", "a", "image", "imagesTr/a_0000.nii.gz", "ok", None, None, None, None)], {"unsupported_2d_format", "duplicate_case_id"}),
+    ([(*PAIR[0][:3], "imagesTr/a_0000.png", *PAIR[0][4:]), PAIR[1]], {"backend_filename_mismatch"}), ([*PAIR, ("val", "c", "mask", "labelsVal/c.png", "ok", [4, 4], [0], "x", None)], {"orphan_masks"}),
+    ([], {"missing_images", "missing_training_pairs"}), ([*PAIR, ("train", "z", "image", "imagesTr/z.exe", "ok", None, None, None, None)], {"unsupported_file"}),
+])
+def test_package_codes(spark, rows, codes):
+    assert {r["code"] for r in planner.package_issues(spark.createDataFrame(rows, ASSETS)).collect()} == codes
+
+
+def test_long_keys_match(spark):
+    long = "k" * 300
+    left = spark.createDataFrame([(1, long), (2, long + "x"), (3, "ab"), (4, ""), (5, None)], "i long, l string")
+    right = spark.createDataFrame([(long,), ("abc",), ("",)], "r string")
+    got = {(r["i"], r["r"], r["kind"]) for r in registry.exact_or_prefix(left, "i", "l", right, "r").collect()}
+    assert got == {(1, long, "exact"), (2, long, "prefix"), (3, "abc", "prefix")}
+
+
+def test_names_and_numbers(spark):
+    df = spark.createDataFrame([(" Case-7_duplicate ", ["45", " 3", "B", "x"]), ("carrot", ["10", "9"]), ("a_rot90", [])], "t string, l array<string>")
+    rows = df.select(fn.case_token(F.col("t")).alias("t"), fn.numbering(F.col("l")).alias("s")).collect()
+    assert [r["t"] for r in rows] == ["case7", "carrot", "a"]
+    assert tuple(rows[0]["s"]) == ("mixed", ["3", "45"], ["B"], ["45", "x"]) and tuple(rows[1]["s"]) == ("numeric", ["9", "10"], [], []) and rows[2]["s"]["schema"] == "none"
+
+
+def test_volume_bounds(spark):
+    base = dict(case_id="c", n_images=1, image_ok=True, foreground_ratio=0.5, tail_ratio=0.55, dynamic_range=10.0, slice_delta_p95=3.0, touch_faces=5, zero_fraction=0.05)
+    names = {"very_low_foreground_ratio", "possible_metal_artifact", "possible_motion_or_slice_inconsistency", "possible_truncation"}
+    for change, want in (({}, set()), ({"foreground_ratio": 0.0019}, {"very_low_foreground_ratio", "possible_truncation"}), ({"tail_ratio": 0.56}, {"possible_metal_artifact"}), ({"slice_delta_p95": 3.01}, {"possible_motion_or_slice_inconsistency"}),
+                         ({"zero_fraction": 0.051}, {"possible_truncation"}), ({"zero_fraction": 0.5, "touch_faces": 4}, set()), ({"foreground_ratio": 0.96}, {"possible_truncation"}), ({"dynamic_range": 1.0, "slice_delta_p95": 1.0}, set())):
+        columns = [c.split()[0] for c in audits.VOLUMES.replace("\n", " ").split(",")]
+        rows = spark.createDataFrame([tuple((base | change).get(c) for c in columns)], audits.VOLUMES)
+        hits = [code for code, *_, c in audits.cohort_rules() if code in names and rows.select(F.coalesce(c, F.lit(False))).first()[0]]
+        assert set(hits) == want, change
