@@ -38,11 +38,11 @@ def case_builder(t) -> DataFrame:
     return out.select("case_id", "image", F.col("n_labels").cast("long").alias("n_labels"), F.coalesce(F.array_join(F.array_sort(pairs), ","), F.lit("")).alias("labels"))
 
 
-@query("""WITH a AS (SELECT l_orderkey, arg_max(l_returnflag, l_linenumber * 1000000 + l_partkey) AS split FROM lineitem GROUP BY 1)
-SELECT coalesce(split, 'none') AS split, count(*) AS n FROM orders LEFT JOIN a ON l_orderkey = o_orderkey GROUP BY 1""")
+@query("""WITH a AS (SELECT user_id, arg_max(event_type, event_id) AS split FROM events GROUP BY 1)
+SELECT coalesce(split, 'none') AS split, count(*) AS n FROM orders LEFT JOIN a ON user_id = o_custkey GROUP BY 1""")
 def split_lookup(t) -> DataFrame:
-    a = t("lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_returnflag").alias("split"), (F.col("l_linenumber") * 1000000 + F.col("l_partkey")).alias("pos"))
-    return records.with_split(t("orders"), a, "o_orderkey").groupBy(F.coalesce("split", F.lit("none")).alias("split")).agg(F.count(F.lit(1)).alias("n"))
+    a = t("events").select(F.col("user_id").alias("o_custkey"), F.col("event_type").alias("split"), F.col("event_id").alias("pos"))
+    return records.with_split(t("orders"), a, "o_custkey").groupBy(F.coalesce("split", F.lit("none")).alias("split")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("""
@@ -119,10 +119,10 @@ def folder_counts(t) -> DataFrame:
 
 
 @query("""WITH d AS (SELECT user_id, abs(value - lag(value) OVER (PARTITION BY user_id ORDER BY event_id)) AS d FROM events)
-SELECT user_id, round(coalesce(avg(d), 0), 4) AS mean_delta, round(coalesce(quantile_cont(d, 0.95), 0), 4) AS p95_delta FROM d GROUP BY 1""")
+SELECT user_id, round(coalesce(avg(d), 0), 6) AS mean_delta, round(coalesce(quantile_cont(d, 0.95), 0), 6) AS p95_delta FROM d GROUP BY 1""")
 def slice_deltas(t) -> DataFrame:
     out = records.slice_deltas(t("events"), "user_id", "event_id", "value")
-    return out.select("user_id", F.round("mean_delta", 4).alias("mean_delta"), F.round("p95_delta", 4).alias("p95_delta"))
+    return out.select("user_id", F.round("mean_delta", 6).alias("mean_delta"), F.round("p95_delta", 6).alias("p95_delta"))
 
 
 @query("SELECT event_id, value, row_number() OVER (ORDER BY value, event_id) AS rank FROM events WHERE value IS NOT NULL ORDER BY value, event_id LIMIT 10")
