@@ -17,8 +17,9 @@ equal minima form lists.
 
 Every list compares its members' segments with a pivot: within a chunk of segments first, and then
 the chunks' pivots with each other, so a very common list costs one task no more than a row a chunk.
-A second round takes other pivots. What then is not settled (windows without a verified repeat,
-members of different components) is compared pair by pair, so no candidate is left out. A passage
+What is not settled then (windows without a verified repeat, members of different components) is
+compared with ``PIVOTS`` other members of its lists, and what that leaves with all members, pair by
+pair, so no candidate is left out. A passage
 is a run of windows of ``length`` shingles of which six in seven occur in one region of the other
 segment, in both segments (Jaccard similarity 0.75 for windows of one length).
 
@@ -49,6 +50,8 @@ from assayer.llm.ngram import _by_owner, _pack, _unpack
 SLICE_BYTES, BLOCK_BYTES = 1 << 20, 8 << 20
 WIDTH = 5
 HASHES, BAND = 8, 2
+#: Members of a list that its unsettled members are compared with before all are.
+PIVOTS = 16
 #: Text bytes for each owner partition, segment bytes for each bucket, band windows of a bucket of lists and shingles of a chunk.
 OWNER_BYTES, SEGMENT_BUCKET_BYTES, LIST_ROWS, CHUNK = 8 << 20, 64 << 20, 400_000, 1_000_000
 SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -405,12 +408,14 @@ def _islands(rows: DataFrame, by: str, first: str, last: str, gap: int) -> DataF
     return marked.groupBy(by, "island").agg(F.min(first).alias(first), F.max(last).alias(last)).drop("island")
 
 
-def _settled(entries: DataFrame, found: DataFrame) -> DataFrame:
-    """``entries`` with ``done``: a window that starts in [s, e] has a verified repeat in any text."""
-    sides = found.select("sid", F.inline("runs")).union(found.select(F.col("psid").alias("sid"), F.inline("runs_p"))).select("sid", "first", "last")
-    ranges = _islands(sides, "sid", "first", "last", 1).groupBy("sid").agg(F.collect_list(F.struct("first", "last")).alias("ranges"))  # at most a range a start
-    inside = F.exists("ranges", lambda r: (r["first"] <= F.col("e")) & (F.col("s") <= r["last"]))
-    return entries.drop("done").join(ranges, "sid", "left").withColumn("done", F.coalesce(inside, F.lit(False))).drop("ranges")
+def _settled(entries: DataFrame, found: DataFrame, length: int) -> DataFrame:
+    """``entries`` with ``done``: a window that starts in [s, e] has a verified repeat in any text, or verified passages cover all of [s, e + length) anyway."""
+    sides = found.select("sid", F.inline("runs")).union(found.select(F.col("psid").alias("sid"), F.inline("runs_p")))
+    listed = lambda a, b, gap: _islands(sides.select("sid", a, b), "sid", a, b, gap).groupBy("sid").agg(F.collect_list(F.struct(a, b)).alias(f"{a}s"))  # noqa: E731  at most a range a start
+    inside = F.exists("firsts", lambda r: (r["first"] <= F.col("e")) & (F.col("s") <= r["last"]))
+    covered = F.exists("starts", lambda r: (r["start"] <= F.col("s")) & (F.col("e") + length <= r["stop"]))
+    met = entries.drop("done").join(listed("first", "last", 1), "sid", "left").join(listed("start", "stop", 0), "sid", "left")
+    return met.withColumn("done", F.coalesce(inside, F.lit(False)) | F.coalesce(covered, F.lit(False))).drop("firsts", "starts")
 
 
 def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
@@ -420,8 +425,17 @@ def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
     return marked.join(open_.where("lo <> hi or not all_done").select("k"), "k", "left_semi")
 
 
-def _links(found: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.union, found).select(F.col("pnode").alias("a"), F.col("node").alias("b")).distinct()
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """``labels`` (node, label) with the components that the pairs of ``found`` join; only links between components are followed."""
+    links = found.select(F.col("pnode").alias("a"), F.col("node").alias("b")).distinct()
+    nodes = links.select(F.col("a").alias("node")).union(links.select("b")).distinct()
+    every = materialise(labels.union(nodes.join(labels, "node", "left_anti").select("node", F.col("node").alias("label"))), "passage-nodes")
+    one = links.join(every.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(every.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
+    across = one.where("la <> lb").select(F.least("la", "lb").alias("a"), F.greatest("la", "lb").alias("b"))
+    roots = connected_components(across).select(F.col("node").alias("label"), F.col("label").alias("root"))
+    out = materialise(every.join(roots, "label", "left").select("node", F.coalesce("root", "label").alias("label")), "passage-labels")
+    discard(every)
+    return out
 
 
 def _untried(pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
@@ -452,23 +466,23 @@ def _passages(segments: DataFrame, length: int, windows_: int) -> tuple[list[Dat
     discard(entries), discard(open_)
     spark_gc(spark)
 
-    labels = materialise(connected_components(_links(found)), "passage-labels")
-    for turn in (1, 2):
-        left = materialise(_labelled(_settled(entries_left, reduce(DataFrame.union, found)), labels), "passage-lists")
+    labels = _merged(spark.createDataFrame([], "node long, label long"), found[0])
+    for last in (False, True):
+        left = materialise(_labelled(_settled(entries_left, reduce(DataFrame.union, found), length), labels), "passage-lists")
         discard(entries_left)
         entries_left = left
-        near = (F.col("label") != F.col("plabel")) | ~F.col("done") | ~F.col("pdone")
-        if turn == 1:  # another pivot, one that is not settled if there is one
-            rank = F.struct((~F.col("done")).alias("open"), F.xxhash64("node", F.lit(turn)).alias("h"), "sid", "s")
-            pivot = left.groupBy("k").agg(F.max(F.struct(rank.alias("rank"), F.col("sid").alias("psid"), F.col("node").alias("pnode"), F.col("label").alias("plabel"), F.col("done").alias("pdone"))).alias("p")).select("k", "p.psid", "p.pnode", "p.plabel", "p.pdone")
-            pairs = left.join(pivot, "k").where(near & (F.col("node") != F.col("pnode")))
-        else:  # whatever is left, pair by pair
-            other = left.select("k", F.col("sid").alias("psid"), F.col("node").alias("pnode"), F.col("label").alias("plabel"), F.col("done").alias("pdone"))
-            pairs = left.join(other, "k").where(near & (F.col("node") != F.col("pnode")) & (F.col("sid") < F.col("psid")))
+        other = left.select("k", F.col("sid").alias("psid"), F.col("node").alias("pnode"), F.col("s").alias("ps"), F.col("label").alias("plabel"), F.col("done").alias("pdone"))
+        if not last:
+            nth = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("pnode"), "psid", "ps"))
+            other = other.withColumn("nth_", nth).where(F.col("nth_") <= PIVOTS)  # Spark keeps so many a task before the shuffle
+        near = (F.col("label") != F.col("plabel")) | ~F.col("done") | (F.lit(last) & ~F.col("pdone"))
+        pairs = left.join(other, "k").where(near & (F.col("node") != F.col("pnode")))
+        if last:
+            pairs = pairs.where("sid < psid")
         tried.append(materialise(_untried(pairs.select("psid", "sid").distinct(), tried), "passage-pairs"))
         found.append(_verify(tried[-1], segments, length))
         spark_gc(spark)
-        labels = materialise(connected_components(labels.select(F.col("node").alias("a"), F.col("label").alias("b")).union(_links(found[-1:]))), "passage-labels")
+        labels = _merged(labels, found[-1])
     discard(entries_left)
     for df in tried:
         discard(df)
