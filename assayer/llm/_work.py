@@ -12,22 +12,24 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's ``spark.checkpoint.dir``; a local folder only where none is set (tests)."""
+    """The cluster's ``spark.checkpoint.dir``; a local folder only where none is set and all runs on this machine (tests)."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
         path = spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="assayer-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, unless their Python finds it by PYTHONPATH or the working folder."""
+    """Sends this package to the executors, unless they run on this machine and find it by PYTHONPATH or the working folder."""
     root = Path(__file__).resolve().parents[2]
     found = {Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
     context = spark.sparkContext
-    if root in found or getattr(context, "_assayer_shipped", False):
+    if (root in found and context.master.startswith("local")) or getattr(context, "_assayer_shipped", False):
         return
     path = Path(tempfile.mkdtemp(prefix="assayer-")) / "assayer.zip"
     with zipfile.ZipFile(path, "w") as z:
