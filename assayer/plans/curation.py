@@ -138,8 +138,8 @@ def cohort_outliers(t) -> DataFrame:
 WITH a AS (SELECT unnest(embedding) AS v, unnest(range(0, len(embedding))) AS axis FROM embeddings)
 SELECT CAST(axis AS INT) AS axis, count(*) AS n, round(quantile_cont(CAST(v AS DOUBLE), 0.5), 5) AS median, round(min(v)::DOUBLE, 5) AS least, round(max(v)::DOUBLE, 5) AS most FROM a GROUP BY axis""")
 def axis_statistics(t) -> DataFrame:
-    v = F.col("value").cast("double")
-    return cohort.axis_values(t("embeddings"), "vec_id", "embedding").groupBy("axis").agg(F.count(F.lit(1)).alias("n"), F.round(F.percentile(v, 0.5), 5).alias("median"), F.round(F.min(v), 5).alias("least"), F.round(F.max(v), 5).alias("most"))
+    stats = cohort.exact_quantiles(cohort.axis_values(t("embeddings"), "vec_id", "embedding"), F.col("value"), ["axis"], (0.0, 0.5, 1.0))
+    return stats.select("axis", "n", *[F.round(F.col("q")[i], 5).alias(name) for i, name in enumerate(("least", "median", "most"))])
 
 
 @query(r"""

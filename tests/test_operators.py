@@ -171,3 +171,22 @@ def test_volume_bounds(spark):
         rows = spark.createDataFrame([tuple((base | change).get(c) for c in columns)], audits.VOLUMES)
         hits = [code for code, *_, c in audits.cohort_rules() if code in names and rows.select(F.coalesce(c, F.lit(False))).first()[0]]
         assert set(hits) == want, change
+
+
+def test_exact_quantiles_by_rounds(spark):
+    rng = random.Random(3)
+    values = {"a": [rng.lognormvariate(0, 8) for _ in range(3000)], "b": [1.0] * 2500 + [2.0], None: [float(i) for i in range(1500)], "c": [5.0], "d": [float("-inf"), 1.0, 2.0, float("inf")] * 400}
+    rows = [(g, v) for g, vs in values.items() for v in vs] + [("c", None), ("c", float("nan")), ("e", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    shares = (0.0, 0.25, 0.5, 0.95, 1.0)
+    for most in (50, 1_000_000):  # with and without rounds
+        got = {r["g"]: r for r in cohort.exact_quantiles(df, F.col("v"), ["g"], shares, sorted_values=most).collect()}
+        assert set(got) == set(values)
+        for g, vs in values.items():
+            assert got[g]["n"] == len(vs)
+            want = sorted(vs)
+            for p, q in zip(shares, got[g]["q"], strict=True):
+                at = (len(want) - 1) * p
+                low, high = want[int(at)], want[min(len(want) - 1, -int(-at // 1))]
+                assert q == pytest.approx(low if low == high else low * (1 - at % 1) + high * (at % 1), rel=1e-9)
+    assert cohort.exact_quantiles(df.limit(0), F.col("v"), ["g"], shares).count() == 0
