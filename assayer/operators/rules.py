@@ -27,8 +27,8 @@ class Rule:
     unless: tuple[str, ...] = ()
 
 
-def issues(df: DataFrame, rules: Sequence[Rule], case_id: str) -> DataFrame:
-    """Rows (case_id, severity, category, type, message), one for every rule that a row hits, in one scan."""
+def _hits(rules: Sequence[Rule]) -> Column:
+    """The issues of a row as an array."""
     conditions = {r.code: F.coalesce(r.when, F.lit(False)) for r in rules}
     structs = []
     for r in rules:
@@ -37,7 +37,12 @@ def issues(df: DataFrame, rules: Sequence[Rule], case_id: str) -> DataFrame:
             hit = hit & ~conditions[other]
         message = F.lit(r.message) if isinstance(r.message, str) else r.message
         structs.append(F.when(hit, F.struct(F.lit(r.severity).alias("severity"), F.lit(r.category).alias("category"), F.lit(r.code).alias("type"), message.cast("string").alias("message"))))
-    return df.select(F.col(case_id).alias("case_id"), F.inline(F.array_compact(F.array(*structs))))
+    return F.array_compact(F.array(*structs))
+
+
+def issues(df: DataFrame, rules: Sequence[Rule], case_id: str) -> DataFrame:
+    """Rows (case_id, severity, category, type, message), one for every rule that a row hits, in one scan."""
+    return df.select(F.col(case_id).alias("case_id"), F.inline(_hits(rules)))
 
 
 def severity_rank(severity: Column) -> Column:
@@ -55,6 +60,14 @@ def case_status(cases: DataFrame, found: DataFrame, case_id: str = "case_id") ->
     return joined.select("case_id", status.alias("status"), F.coalesce("n_issues", F.lit(0)).alias("n_issues"))
 
 
+def row_status(df: DataFrame, rules: Sequence[Rule], case_id: str) -> DataFrame:
+    """``case_status`` where a case is one row and all its issues come from ``rules``: a projection, without a join. A null id is a case."""
+    found = df.select(F.col(case_id).alias("case_id"), _hits(rules).alias("hits"))
+    has = lambda s: F.exists("hits", lambda h: h["severity"] == s)
+    status = F.when(has("error"), "blocked").when(has("warning"), "manual_review").otherwise("ready")
+    return found.select("case_id", status.alias("status"), F.size("hits").cast("long").alias("n_issues"))
+
+
 def issue_counts(found: DataFrame) -> DataFrame:
     """Errors and warnings by category, and fail, review or pass."""
     count = lambda s: F.count_if(F.col("severity") == s)

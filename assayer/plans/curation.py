@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from assayer.operators import cohort, dedup, metrics, splits
-from assayer.operators.rules import Rule, case_status, invalid_values, issues
+from assayer.operators.rules import Rule, invalid_values, issues, row_status
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -52,7 +52,7 @@ def case_status_summary(t) -> DataFrame:
         Rule("sensitive", "warning", "label", F.col("toxic") == 1),
         Rule("duplicate_content", "warning", "leakage", F.col("copies") > 1),
     ]
-    status = case_status(cases, issues(cases, rules, "doc_id"), "doc_id")
+    status = row_status(cases, rules, "doc_id")
     return status.groupBy("status").agg(F.count(F.lit(1)).alias("n_cases"), F.sum("n_issues").alias("n_issues"))
 
 

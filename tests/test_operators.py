@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assayer import functions as fn
 from assayer.operators import audits, cohort, dedup, planner, registry, splits
-from assayer.operators.rules import Rule, bbox_invalid, case_status, cohort_status, issues, polygon_issue
+from assayer.operators.rules import Rule, bbox_invalid, case_status, cohort_status, issues, polygon_issue, row_status
 
 
 def test_rules_guard_and_null(spark):
@@ -16,6 +16,8 @@ def test_rules_guard_and_null(spark):
     found = {(r["case_id"], r["type"]) for r in issues(df, rules, "id").collect()}
     assert found == {("b", "broken"), ("c", "empty")}
     assert {r["case_id"]: r["status"] for r in case_status(df, issues(df, rules, "id"), "id").collect()} == {"a": "ready", "b": "blocked", "c": "manual_review"}
+    status = {r["case_id"]: (r["status"], r["n_issues"]) for r in row_status(df, rules, "id").collect()}
+    assert status == {"a": ("ready", 0), "b": ("blocked", 1), "c": ("manual_review", 1)}
 
 
 def test_cohort_status(spark):
