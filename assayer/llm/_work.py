@@ -2,14 +2,22 @@
 
 from __future__ import annotations
 
+import ctypes
+import functools
 import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+ARROW_BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+#: What a Python worker keeps from task to task, by owner.
+CACHES: dict[str, dict] = {}
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's ``spark.checkpoint.dir``; a local folder only where none is set and all runs on this machine (tests)."""
@@ -25,7 +33,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def ship(spark: SparkSession) -> None:
-    """Sends this package to the executors, unless they run on this machine and find it by PYTHONPATH or the working folder."""
+    """Sends this package to the executors, unless they run on this machine and find it by PYTHONPATH or the working folder.
+
+    Arrow batches get a bound in bytes, unless the session has one: 10,000 long texts are no bound.
+    """
+    for name, value in ARROW_BATCH.items():
+        if spark.conf.get(name, None) is None:
+            spark.conf.set(name, value)
     root = Path(__file__).resolve().parents[2]
     found = {Path(p).resolve() for p in [os.getcwd(), *os.environ.get("PYTHONPATH", "").split(os.pathsep)] if p}
     context = spark.sparkContext
@@ -78,3 +92,28 @@ def spark_gc(spark: SparkSession) -> None:
 
     gc.collect()
     spark._jvm.System.gc()
+
+
+def release() -> None:
+    """Gives freed memory back to the system: Python workers live on, and would hold their largest task's for all later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
+def releasing(run: Callable[[Iterator], Iterator], keeps: str = "") -> Callable[[Iterator], Iterator]:
+    """``run`` over the batches of a task, without other owners' ``CACHES`` and with ``release`` at its end."""
+
+    @functools.wraps(run)
+    def task(batches: Iterator) -> Iterator:
+        pa.set_memory_pool(pa.system_memory_pool())  # which returns what ``release`` trims
+        for owner, cache in CACHES.items():
+            if owner != keeps:
+                cache.clear()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return task

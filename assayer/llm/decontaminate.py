@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm._text import LOWER, Block, slices, text_buffers
-from assayer.llm._work import ship
+from assayer.llm._work import CACHES, releasing, ship
 from assayer.llm.fmindex import FmIndex
 
 SHARD_BYTES = 32 << 20
@@ -149,7 +149,7 @@ def _merge(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-_made: dict[str, Windows] = {}
+_made: dict[str, Windows] = CACHES.setdefault("windows", {})
 
 
 def _windows(name: str, sent, width: int) -> Windows:
@@ -212,7 +212,7 @@ def benchmark_spans(docs: DataFrame, benchmark: DataFrame, *, key: str = "doc_id
         rows = part.collect()  # about ``block_bytes`` of text
         sent = docs.sparkSession.sparkContext.broadcast(([r["k"] for r in rows], [r["t"] for r in rows]))
         schema = f"row_key {kind}, text string, n_words long, items array<string>, spans array<struct<start:bigint,stop:bigint>>"
-        out = out.mapInArrow(_search(uuid.uuid4().hex, sent, width, b == blocks - 1), schema)
+        out = out.mapInArrow(releasing(_search(uuid.uuid4().hex, sent, width, b == blocks - 1), "windows"), schema)
     return out.select(F.col("row_key").alias(key), "n_words", "items", "spans")
 
 

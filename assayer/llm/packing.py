@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from assayer.llm._work import materialise, ship
+from assayer.llm._work import materialise, releasing, ship
 from assayer.llm.tokens import WordCoder
 
 OFFSET_BROADCAST_ROWS = 100_000
@@ -55,7 +55,7 @@ def tokenise(docs: DataFrame, tokenizer: str, *, key: str = "doc_id", text: str
                 yield pa.RecordBatch.from_arrays(arrays, names=["block", "source", "before", "row_key", "n", "ids"])
 
     rows = docs.select(F.col(key).alias("row_key"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"block long, source string, before long, row_key {kind}, n long, ids binary")
+    return rows.mapInArrow(releasing(run, "coder"), f"block long, source string, before long, row_key {kind}, n long, ids binary")
 
 
 class Quotas:
@@ -163,4 +163,4 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, *, key: str = "doc
                 yield pa.RecordBatch.from_arrays(arrays, names=names_out)
 
     rows = tokens.join(offsets, ["block", "source"]).select("row_key", "n", "queue", (F.col("offset") + F.col("before")).alias("at"), "ids", "source")
-    return rows.mapInArrow(run, f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
+    return rows.mapInArrow(releasing(run, "coder"), f"{key} {kind}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assayer.llm._text import SPACE, Block, mix, slices, text_buffers, windows
-from assayer.llm._work import ship
+from assayer.llm._work import releasing, ship
 
 BLOCK_BYTES = 1 << 20
 #: The symbols that are counted.
@@ -175,7 +175,7 @@ def plan_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str = "
 
     one_in = max(1, docs.count() // sample_rows)
     drawn = docs.select(F.col(text).cast("string").alias("text")).where(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(one_in)) == 0)
-    sums = drawn.mapInArrow(run, "rule string, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected"))
+    sums = drawn.mapInArrow(releasing(run), "rule string, seconds double, rejected long").groupBy("rule").agg(F.sum("seconds").alias("seconds"), F.sum("rejected").alias("rejected"))
     worth = {r.name: 0.0 for r in rules}
     for r in sums.collect():  # one row a rule
         worth[r["rule"]] = (r["rejected"] + 0.5) / (r["seconds"] + 1e-6)
@@ -197,7 +197,7 @@ def apply_cascade(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text: str =
                 kept = np.concatenate([verdicts(block, rules) for block in _blocks(batch.column(at))])
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(kept)], names=[*names, flag])
 
-    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{n}`") for n in names]).mapInArrow(releasing(run), schema)
 
 
 def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -225,4 +225,4 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES, key: str =
             arrays = [pa.array(np.concatenate(x)) for x in zip(*parts, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=[key, *columns, "base_failed", "kept"])
 
-    return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(key), F.col(text).cast("string").alias("text")).mapInArrow(releasing(run), schema)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.llm._text import Block, mix, shingle_sets, slices, text_buffers
-from assayer.llm._work import discard, materialise, ship, spark_gc
+from assayer.llm._work import discard, materialise, releasing, ship, spark_gc
 from assayer.llm.components import connected_components
 
 BLOCK_BYTES = 1 << 20
@@ -46,6 +46,8 @@ SKETCH_BITS = 22
 SKETCH_SLICES = 64
 #: Postings of one bucket, and classes by the sketch for each salt of a shingle's list.
 BUCKET_POSTINGS, HOT_LIST = 400_000, 50_000
+#: Postings that a task gathers before it packs them.
+FLUSH_POSTINGS = 600_000
 #: Bit of a packed position that marks a salted list's posting; larger positions are held as the one below it.
 SALTED = 1 << 15
 MAX_LIGHT = 40
@@ -112,7 +114,7 @@ def set_classes(docs: DataFrame, key: str, text: str, width: int) -> DataFrame:
         yield pa.RecordBatch.from_arrays([pa.nulls(len(some), keys_type), pa.nulls(len(some), pa.int64()), pa.nulls(len(some), pa.int64()), pa.array(some, pa.int32()), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in some], pa.binary())], names=names)
 
     rows = docs.select(F.col(key).alias("row_key"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"row_key {kind}, node long, n long, slice int, counts binary")
+    return rows.mapInArrow(releasing(run), f"row_key {kind}, node long, n long, slice int, counts binary")
 
 
 def sum_sketch(slices_: DataFrame) -> np.ndarray:
@@ -127,7 +129,7 @@ def sum_sketch(slices_: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([np.minimum(x, 0xFFFFFFFF).astype("<u4").tobytes() for x in total.values()], pa.binary())], names=["slice", "counts"])
 
     out = np.zeros((SKETCH_SLICES, (1 << SKETCH_BITS) // SKETCH_SLICES), np.uint32)
-    for r in slices_.repartition(SKETCH_SLICES, "slice").mapInArrow(run, "slice int, counts binary").collect():
+    for r in slices_.repartition(SKETCH_SLICES, "slice").mapInArrow(releasing(run), "slice int, counts binary").collect():
         out[r["slice"]] = np.frombuffer(r["counts"], "<u4")
     return out.ravel()
 
@@ -196,12 +198,12 @@ def postings(docs: DataFrame, sketch: np.ndarray, boundary: int, buckets: int, t
                     hot = -(-count[keep[place]].astype(np.int64) // HOT_LIST)
                     parts.append((k, np.full(len(k), name), np.full(len(k), size), place, hot))
                     held += len(k)
-                if held > 1_500_000:
+                if held > FLUSH_POSTINGS:
                     yield from flush()
                     parts, held = [], 0
         yield from flush()
 
-    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "bucket int, blob binary")
+    return docs.select(F.col(text).cast("string").alias("text")).mapInArrow(releasing(run), "bucket int, blob binary")
 
 
 def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, ...]:
@@ -278,7 +280,7 @@ def _class_texts(docs: DataFrame, shared: DataFrame, text: str, width: int, buck
                 seen.add(name), node.append(name), keep.append(i), bits.append(_bits(s))
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), batch.column(0).take(pa.array(keep, pa.int64())), pa.array(bits, pa.list_(pa.int64()))], names=["node", "text", "bits"])
 
-    texts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(run, "node long, text string, bits array<long>")
+    texts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(releasing(run), "node long, text string, bits array<long>")
     texts = texts.repartition(buckets, "node").join(shared.select("node"), "node", "left_semi").dropDuplicates(["node"])
     return materialise(texts, "set-texts", by="node", buckets=buckets)
 
@@ -311,7 +313,7 @@ def _verify(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     pivots = materialise(texts.join(pairs.select(F.col("a").alias("node")).distinct(), "node", "left_semi").select("node", "text"), "set-pivots")
     one = pairs.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     two = one.join(pivots.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    out = materialise(two.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long"), "set-links")
+    out = materialise(two.select("a", "b", "text_a", "text_b").mapInArrow(releasing(run), "a long, b long"), "set-links")
     discard(pivots)
     return out
 

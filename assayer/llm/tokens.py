@@ -15,10 +15,12 @@ import numpy as np
 import regex
 from tokenizers import Tokenizer
 
+from assayer.llm._work import CACHES
+
 _PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ODD = regex.compile(r"[\x1c-\x1f]")
 _PLAIN = regex.compile(r"[!-įı-ɏ]+")
-_coders: dict[str, "WordCoder"] = {}
+_coders: dict[str, "WordCoder"] = CACHES.setdefault("coder", {})
 
 
 def _byte_letters() -> dict[int, str]:
