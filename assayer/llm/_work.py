@@ -87,10 +87,11 @@ def discard(df: DataFrame) -> None:
 
 
 def spark_gc(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop shuffle files of frames that are gone."""
+    """Lets Spark's cleaner drop shuffle files of frames that are gone, and gives the driver's freed memory back."""
     import gc
 
     gc.collect()
+    release()
     spark._jvm.System.gc()
 
 

@@ -34,6 +34,7 @@ from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -146,9 +147,8 @@ def light_boundary(sizes: dict[int, int], mean_list: float, scan_cost: float = 0
     return best
 
 
-def postings(docs: DataFrame, sketch: np.ndarray, boundary: int, buckets: int, text: str, width: int) -> DataFrame:
-    """(bucket, blob): packed signatures of the classes of each task; copies within a task are sent once."""
-    shared = docs.sparkSession.sparkContext.broadcast(sketch)  # 2 ** SKETCH_BITS counters
+def postings(docs: DataFrame, shared: Broadcast, boundary: int, buckets: int, text: str, width: int) -> DataFrame:
+    """(bucket, blob): packed signatures of the classes of each task; copies within a task are sent once. ``shared`` is the sketch."""
 
     def blobs(keys, node, n, pos, bucket) -> Iterator[pa.RecordBatch]:
         order = np.argsort(bucket, kind="stable")
@@ -282,7 +282,9 @@ def _class_texts(docs: DataFrame, shared: DataFrame, text: str, width: int, buck
 
     texts = docs.select(F.col(text).cast("string").alias("text")).mapInArrow(releasing(run), "node long, text string, bits array<long>")
     texts = texts.repartition(buckets, "node").join(shared.select("node"), "node", "left_semi").dropDuplicates(["node"])
-    return materialise(texts, "set-texts", by="node", buckets=buckets)
+    out = materialise(texts, "set-texts", by="node", buckets=buckets)
+    known.destroy()
+    return out
 
 
 def _bits(s: np.ndarray) -> np.ndarray:
@@ -333,8 +335,11 @@ def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parallel, ceil(held / BUCKET_POSTINGS))
 
-    packed = postings(docs, sketch, boundary, buckets, text, width)
+    sent = spark.sparkContext.broadcast(sketch)  # 2 ** SKETCH_BITS counters
+    del sketch, weights
+    packed = postings(docs, sent, boundary, buckets, text, width)
     lists = _whole_lists(materialise(packed.groupBy("bucket").applyInArrow(_lists(), "k long, node long, n int, pos int, salted boolean"), "set-lists"))
+    sent.destroy()
     spark_gc(spark)
     shared = materialise(lists.groupBy("node").agg(F.count(F.lit(1)).alias("f")), "set-shared")
     size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
