@@ -64,11 +64,11 @@ def materialise(df: DataFrame, name: str, by: str | None = None, buckets: int =
     path = f"{shared_dir(spark)}/{table}"
     if by:
         table = table.replace("-", "_")
-        df.write.option("path", path).bucketBy(buckets, by).sortBy(by).saveAsTable(table)
+        df.write.option("compression", "zstd").option("path", path).bucketBy(buckets, by).sortBy(by).saveAsTable(table)
         out = spark.table(table)
         out._stored_as = table
     else:
-        df.write.parquet(path)
+        df.write.parquet(path, compression="zstd")
         out = spark.read.schema(df.schema).parquet(path)
     out._stored_at = path
     return out
