@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assayer.llm import sql
-from assayer.llm._work import ship
+from assayer.llm._work import shared_dir, ship
 from assayer.llm.decontaminate import decontaminate
 from assayer.llm.licenses import license_scan
 from assayer.llm.ngram import score_documents
@@ -19,6 +20,7 @@ from assayer.llm.quality import RULES, plan_cascade, quality_report
 from assayer.llm.secrets import secret_findings
 from assayer.llm.setjoin import jaccard_classes
 from assayer.llm.sharding import balanced_shards
+from assayer.llm.upsert import file_report, upsert, write_sorted
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -72,6 +74,22 @@ def op10_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    clients, changes = _table(spark, sf_dir, "clients"), _table(spark, sf_dir, "client_changes")
+    crc = lambda c: F.crc32(c.cast("string").cast("binary"))
+    folder = f"{shared_dir(spark)}/clients-{uuid.uuid4().hex}"
+    base = write_sorted(clients.where(crc(F.col("client_id")) % 7 > 3), "client_id", 1 + clients.count() // 700, folder)
+
+    def action(change: Column, first: Column) -> Column:
+        h = crc(first) % 12
+        return F.when(h > 7, "ignore").when((change["op"] == "D") | (crc(change["change_id"]) % 8 < h), "delete").otherwise("set")
+
+    upsert(base, changes, ["seq", "change_id"], ["source", "segment", "city", "balance"], action)
+    cents = F.coalesce(F.floor(100 * F.col("balance") + 0.5), F.lit(0))
+    parts = F.concat_ws("|", *[F.coalesce(c, F.lit("")) for c in ("source", "segment", "city")])
+    return file_report(spark, base, cents, crc(parts))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -89,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_ngram_scores": op8_ngram_scores,
     "op9_sampled_splitter_shards": op9_sampled_splitter_shards,
     "op10_repeated_passages": op10_repeated_passages,
+    "op11_keyed_upsert": op11_keyed_upsert,
     "pipeline": pipeline,
 }
 
