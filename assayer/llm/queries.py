@@ -14,6 +14,7 @@ from assayer.llm.decontaminate import decontaminate
 from assayer.llm.licenses import license_scan
 from assayer.llm.ngram import score_documents
 from assayer.llm.packing import pack
+from assayer.llm.pages import main_text
 from assayer.llm.passages import repeated_passages
 from assayer.llm.pii import personal_data, span_report
 from assayer.llm.quality import RULES, plan_cascade, quality_report
@@ -90,6 +91,10 @@ def op11_keyed_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     return file_report(spark, base, cents, crc(parts))
 
 
+def op12_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -108,6 +113,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_sampled_splitter_shards": op9_sampled_splitter_shards,
     "op10_repeated_passages": op10_repeated_passages,
     "op11_keyed_upsert": op11_keyed_upsert,
+    "op12_tag_path_text": op12_tag_path_text,
     "pipeline": pipeline,
 }
 
