@@ -18,6 +18,7 @@ from assayer.llm.pages import main_text
 from assayer.llm.passages import repeated_passages
 from assayer.llm.pii import personal_data, span_report
 from assayer.llm.quality import RULES, plan_cascade, quality_report
+from assayer.llm.search import ranked_search
 from assayer.llm.secrets import secret_findings
 from assayer.llm.setjoin import jaccard_classes
 from assayer.llm.sharding import balanced_shards
@@ -95,6 +96,10 @@ def op12_tag_path_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_text(_table(spark, sf_dir, "pages"))
 
 
+def op13_wand_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -114,10 +119,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_repeated_passages": op10_repeated_passages,
     "op11_keyed_upsert": op11_keyed_upsert,
     "op12_tag_path_text": op12_tag_path_text,
+    "op13_wand_search": op13_wand_search,
     "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_license_sentences": sql.license_sentences(),
     "op7_quality_rules": sql.QUALITY_RULES,
+    "op13_wand_search": sql.RANKED_SEARCH,
 }
