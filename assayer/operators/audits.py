@@ -111,7 +111,7 @@ def cohort_rules(labels_required: bool = False) -> list[tuple[str, str, str, str
         ("metadata_inconsistency", "metadata", "moderate", "high", "moderate", "confirmed", ok & (_six(F.col("spacing")) != _six(F.col("header_spacing")))),
         ("missing_key_metadata", "metadata", "moderate", "high", "moderate", "confirmed", ok & (F.col("spacing").isNull() | F.col("shape").isNull())),
         ("missing_modality_metadata", "metadata", "moderate", "high", "moderate", "confirmed", ok & F.col("modality").isNull()),
-        ("empty_or_corrupt_volume", "volume_consistency", "severe", "high", "major", "confirmed", ok & (F.col("dynamic_range") <= 0)),
+        ("empty_or_corrupt_volume", "volume_consistency", "severe", "high", "major", "confirmed", ok & (F.col("dynamic_range") <= 1e-6) & (F.coalesce("std", F.lit(0.0)) <= 1e-6)),
         ("possible_truncation", "volume_consistency", "moderate", "medium", "moderate", "suspected", ok & (F.col("touch_faces") >= TOUCHED_FACES) & ((F.coalesce("zero_fraction", F.lit(0.0)) > ZERO_SHARE) | ~F.coalesce("foreground_ratio", F.lit(0.0)).between(FEW_FOREGROUND, MUCH_FOREGROUND))),
         ("very_low_foreground_ratio", "volume_consistency", "moderate", "medium", "moderate", "suspected", ok & (F.coalesce("foreground_ratio", F.lit(0.0)) < MIN_FOREGROUND)),
         ("possible_metal_artifact", "image_quality", "moderate", "low", "moderate", "suspected", ok & (F.col("tail_ratio") > MAX_TAIL)),
@@ -155,6 +155,55 @@ def cohort_findings(volumes: DataFrame, labels_required: bool = False) -> DataFr
     return out.unionByName(duplicate_findings(volumes))
 
 
+#: Codes that reject a case of the header audit, and the modality of the cohort.
+BLOCKING, MODALITY = ("unreadable_image", "invalid_spacing", "unexpected_dimensionality", "empty_or_corrupt_volume"), "CT"
+
+
+def header_rules(modality: str = MODALITY) -> list[tuple[str, str, str, str, str, str, Column]]:
+    """The rules for scans that come with a header and no labels, over the columns of ``VOLUMES`` and ``empty``."""
+    ok, blank = F.col("image_ok"), lambda c: F.trim(F.coalesce(F.col(c), F.lit(""))) == ""
+    no_spacing = F.coalesce(F.size("spacing"), F.lit(0)) <= 0
+    share = F.coalesce("foreground_ratio", F.lit(0.0))
+    cropped = (F.coalesce("zero_fraction", F.lit(0.0)) > ZERO_SHARE) | ~share.between(FEW_FOREGROUND, MUCH_FOREGROUND)
+    return [
+        ("unreadable_image", "intake", "severe", "high", "major", "confirmed", ~F.coalesce(ok, F.lit(False))),
+        ("invalid_spacing", "metadata", "severe", "high", "major", "confirmed", ok & (no_spacing | F.exists("spacing", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")) | (x <= 0)))),
+        ("unexpected_dimensionality", "volume_consistency", "severe", "high", "major", "confirmed", ok & (F.coalesce(F.size("shape"), F.lit(0)) != 3)),
+        ("missing_key_metadata", "metadata", "moderate", "high", "moderate", "confirmed", ok & (blank("patient_id") | blank("study_uid") | blank("series_uid"))),
+        ("missing_modality_metadata", "metadata", "moderate", "high", "moderate", "confirmed", ok & blank("modality")),
+        ("metadata_inconsistency", "metadata", "moderate", "high", "moderate", "confirmed", ok & ~blank("modality") & (F.upper(F.trim("modality")) != modality)),
+        ("empty_or_corrupt_volume", "volume_consistency", "severe", "high", "major", "confirmed", ok & F.col("empty")),
+        ("possible_truncation", "volume_consistency", "moderate", "medium", "moderate", "suspected", ok & (F.col("touch_faces") >= TOUCHED_FACES) & cropped),
+        ("very_low_foreground_ratio", "volume_consistency", "moderate", "medium", "moderate", "suspected", ok & (share < MIN_FOREGROUND)),
+        ("possible_metal_artifact", "image_quality", "moderate", "low", "moderate", "suspected", ok & (F.col("tail_ratio") > MAX_TAIL)),
+        ("possible_motion_or_slice_inconsistency", "image_quality", "moderate", "low", "moderate", "suspected", ok & (F.col("slice_delta_p95") > F.greatest(F.lit(MIN_MOTION), MOTION_SHARE * F.coalesce("dynamic_range", F.lit(0.0))))),
+    ]
+
+
+def header_volumes(headers: DataFrame, case: Column) -> DataFrame:
+    """The columns that ``header_rules`` reads from ``dicom_headers`` with pixels; pixels that are not read have no statistics."""
+    d, p = F.col("dicom"), F.col("dicom.pixels")
+    same = [d[c].alias(c) for c in ("shape", "spacing", "modality", "patient_id", "study_uid", "series_uid")]
+    stats = [p[c].alias(c) for c in ("foreground_ratio", "zero_fraction", "tail_ratio", "slice_delta_p95", "dynamic_range", "std", "touch_faces", "empty", "sample_hash")]
+    return headers.select(case.alias("case_id"), (d["status"] == "ok").alias("image_ok"), *same, *stats)
+
+
+def header_findings(volumes: DataFrame, modality: str = MODALITY) -> DataFrame:
+    """Findings of every scan by ``header_rules``; one projection, nothing is joined."""
+    structs = [
+        F.when(F.coalesce(c, F.lit(False)), F.struct(F.lit(code).alias("code"), *[F.lit(v).alias(n) for n, v in zip(_FINDING, values, strict=True)]))
+        for code, *values, c in header_rules(modality)
+    ]
+    return volumes.select("case_id", F.array_compact(F.array(*structs)).alias("findings"))
+
+
+def header_status(found: DataFrame) -> DataFrame:
+    """(case_id, status, codes): rejected by a blocking code, else to be looked at if there is any finding, else usable."""
+    codes = F.transform("findings", lambda f: f["code"])
+    status = F.when(F.arrays_overlap(codes, F.array(*map(F.lit, BLOCKING))), "reject").when(F.size(codes) > 0, "needs_manual_review").otherwise("usable")
+    return found.select("case_id", status.alias("status"), codes.alias("codes"))
+
+
 def duplicate_findings(volumes: DataFrame) -> DataFrame:
     """Repeated identifiers and scans, and their leaks across splits: one aggregate a key, joined back on it."""
     token = F.nullif(case_token(F.col("case_id"), ("copy", "dup")), F.lit(""))

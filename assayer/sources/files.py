@@ -77,34 +77,9 @@ def split_files(spark: SparkSession, root: str) -> DataFrame:
 
 def archive_members(spark: SparkSession, paths: str) -> DataFrame:
     """Members (archive, member, content, safe) of zip and tar files; members that leave the target are not safe and have no content."""
-    from collections.abc import Iterator
-
-    import pyarrow as pa
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import io
-        import posixpath
-        import tarfile
-        import zipfile
-
-        for batch in batches:
-            for path, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                if zipfile.is_zipfile(io.BytesIO(data)):
-                    z = zipfile.ZipFile(io.BytesIO(data))
-                    entries = [(i.filename, lambda i=i, z=z: z.read(i)) for i in z.infolist() if not i.is_dir()]
-                else:
-                    t = tarfile.open(fileobj=io.BytesIO(data))
-                    entries = [(m.name, lambda m=m, t=t: t.extractfile(m).read()) for m in t.getmembers() if m.isfile()]
-                for name, read in entries:
-                    clean = posixpath.normpath(name)
-                    safe = not clean.startswith(("../", "/")) and clean != ".."
-                    rows.append((path, clean, read() if safe else None, safe))
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.string(), pa.string(), pa.binary(), pa.bool_()), strict=True)], names=["archive", "member", "content", "safe"])
-
-    files = spark.read.format("binaryFile").load(paths).select("path", "content")
-    return files.mapInArrow(run, "archive string, member string, content binary, safe boolean")
+    from assayer.sources.archives import whole_members
+
+    return whole_members(spark, paths)
 
 
 def flattened(members: DataFrame) -> DataFrame:

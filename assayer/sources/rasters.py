@@ -9,9 +9,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assayer.functions import kernels
+from assayer.sources.dicom import STATS
 
 _PROFILE = "status string, shape array<int>, label_values array<int>, foreground_ratio double, components int, tiny_components int, pixel_sha256 string"
-_VOLUME = "status string, shape array<int>, spacing array<double>, sample_hash string, quantiles array<double>, dynamic_range double, foreground_ratio double"
+_VOLUME = f"status string, shape array<int>, spacing array<double>, {STATS}"
 #: Decoders of volume suffixes; more can be registered where their libraries are installed.
 VOLUME_READERS: dict[str, Callable] = {".nii": kernels.nifti_volume, ".nii.gz": kernels.nifti_volume}
 
@@ -60,8 +61,7 @@ def volume_summaries(files: DataFrame, max_voxels: int = 450_000) -> DataFrame:
             return {"status": f"unreadable: {e}"[:200]}
         step = kernels.sample_stride(voxels.size, max_voxels, voxels.ndim)
         sample = voxels[tuple(slice(None, None, step) for _ in range(voxels.ndim))].astype("float32")
-        stats = kernels.intensity_stats(sample)
-        return {"status": "ok", "shape": head["shape"], "spacing": head["spacing"], "sample_hash": hashlib.sha1(sample.tobytes()).hexdigest(), "quantiles": stats["quantiles"], "dynamic_range": stats["dynamic_range"], "foreground_ratio": stats["foreground_ratio"]}
+        return {"status": "ok", "shape": head["shape"], "spacing": head["spacing"], "sample_hash": hashlib.sha1(sample.tobytes()).hexdigest(), **kernels.intensity_stats(sample)}
 
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
         for data, suffix in batches:
