@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
 def exact_or_prefix(left: DataFrame, left_id: str, left_key: str, right: DataFrame, right_key: str) -> DataFrame:
     """Equal keys, else keys of which one begins with the other; one match a left row (exact first, then smallest).
 
@@ -55,16 +61,68 @@ def best_record(df: DataFrame, keys: list[Column], pos: str, by: list[str] | Non
     return df.groupBy(*(by or [])).agg(F.max_by(whole, F.struct(*keys, -F.col(pos))).alias("best")).select("best.*")
 
 
+def ordered_fold(df: DataFrame, by: str, order: list[str], fold: Callable[[dict], Callable[[pa.RecordBatch], object]], schema: str) -> DataFrame:
+    """A sequential fold over each group's rows in order, one result row a group.
+
+    Rows are dealt by group and sorted within their partition, which spills; they then stream past, so a group of any size takes the
+    memory of one Arrow batch. ``fold`` starts a group: given its state (empty at first), it returns a function that takes the group's rows
+    of a batch and changes the state. The state's items, with the group, are the result.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+    from pyspark.sql.types import _parse_datatype_string
+
+    kind = to_arrow_schema(_parse_datatype_string(schema))
+    names = kind.names
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        state: dict = {}
+        step, group, started, out = None, None, False, []
+        for batch in batches:
+            keys = batch.column(0)
+            codes = pc.fill_null(keys.dictionary_encode().indices, -1).to_numpy()
+            cuts = [0, *(np.flatnonzero(codes[1:] != codes[:-1]) + 1).tolist(), len(batch)] if len(batch) else [0]
+            for at, end in zip(cuts, cuts[1:], strict=False):
+                key = keys[at].as_py()
+                if not started or key != group:
+                    if started:
+                        out.append({names[0]: group} | state)
+                    group, started, state = key, True, {}
+                    step = fold(state)
+                step(batch.slice(at, end - at))
+            if len(out) > 10_000:
+                yield pa.RecordBatch.from_pylist(out, kind)
+                out = []
+        if started:
+            out.append({names[0]: group} | state)
+        yield pa.RecordBatch.from_pylist(out, kind)
+
+    return df.repartition(by).sortWithinPartitions(by, *order).mapInArrow(run, schema)
+
+
 def best_epoch(df: DataFrame, run: str, order: str = "epoch", dice: str = "dice", hd95: str = "hd95", tie: float = 1e-8) -> DataFrame:
-    """The epoch a sequential watcher ends with: higher dice, or equal dice (within ``tie``) and lower hd95."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(dice).alias("d"), F.coalesce(F.col(hd95), F.lit(1e9)).alias("h"))))
+    """The epoch a sequential watcher ends with: higher dice, or dice within ``tie`` and lower hd95 (none is 1e9); epochs without dice never win."""
+    kinds = dict(df.dtypes)
+
+    def start(state: dict) -> Callable[[pa.RecordBatch], None]:
+        def step(rows: pa.RecordBatch) -> None:
+            won = -1
+            best, distance = state.get("best_dice", float("nan")), state.get("best_hd95", float("inf"))
+            for i, (d, h) in enumerate(zip(rows.column(2).to_pylist(), rows.column(3).to_pylist(), strict=True)):
+                if d > best or (best != best and d == d) or (abs(d - best) < tie and h < distance):
+                    won, best, distance = i, d, h
+            if won >= 0:
+                state.update(best_epoch=rows.column(1)[won].as_py(), best_dice=best, best_hd95=distance)
+
+        return step
+
+    rows = df.select(run, order, F.coalesce(F.col(dice).cast("double"), F.lit(float("nan"))).alias("d_"), F.coalesce(F.col(hd95).cast("double"), F.lit(1e9)).alias("h_"))
+    return ordered_fold(rows, run, [order, "d_", "h_"], start, f"{run} {kinds[run]}, best_epoch {kinds[order]}, best_dice double, best_hd95 double")
 
-    def step(best: Column, x: Column) -> Column:
-        better = best.isNull() | (x["d"] > best["d"] + tie) | ((F.abs(x["d"] - best["d"]) <= tie) & (x["h"] < best["h"]))
-        return F.when(better, x).otherwise(best)
 
-    none = F.lit(None).cast(f"struct<o:{dict(df.dtypes)[order]},d:double,h:double>")
-    return df.groupBy(run).agg(F.aggregate(rows, none, step).alias("b")).select(run, F.col("b.o").alias("best_epoch"), F.col("b.d").alias("best_dice"))
+def monitored_best(trials: DataFrame, pos: str, dice: str = "dice", iou: str = "iou", by: list[str] | None = None) -> DataFrame:
+    """The monitor's best of the completed trials: highest (dice, iou) with nothing else, so it may differ from the best by all metrics."""
+    zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
+    return best_record(trials, [zero(dice), zero(iou)], pos, by)
 
 
 def unseen_candidates(candidates: DataFrame, history: DataFrame, identity: str, order: str, n: int = 1) -> DataFrame:

@@ -82,11 +82,12 @@ def baseline_difference(t) -> DataFrame:
 
 
 @query("""
-WITH r AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n, value FROM events)
-SELECT user_id, max(value) AS best_value FROM r GROUP BY user_id""")
+WITH e AS (SELECT user_id, event_id, floor(value) / 8 AS dice, CAST(event_id % 7 AS DOUBLE) AS hd95 FROM events),
+m AS (SELECT user_id, max(dice) AS dice FROM e GROUP BY 1), h AS (SELECT e.user_id, e.dice, min(hd95) AS hd95 FROM e JOIN m ON e.user_id = m.user_id AND e.dice = m.dice GROUP BY 1, 2)
+SELECT e.user_id, min(event_id) AS best_epoch, e.dice AS best_dice, e.hd95 AS best_hd95 FROM e JOIN h ON e.user_id = h.user_id AND e.dice = h.dice AND e.hd95 = h.hd95 GROUP BY 1, 3, 4""")
 def best_epoch(t) -> DataFrame:
-    e = t("events").select("user_id", "event_id", F.col("value").alias("dice"), F.lit(0.0).alias("hd95"))
-    return registry.best_epoch(e, "user_id", "event_id", tie=0.0).select("user_id", F.col("best_dice").alias("best_value"))
+    e = t("events").select("user_id", "event_id", (F.floor("value") / 8).alias("dice"), (F.col("event_id") % 7).cast("double").alias("hd95"))
+    return registry.best_epoch(e, "user_id", "event_id")
 
 
 @query("SELECT conv_id, turn, role FROM (SELECT *, row_number() OVER (PARTITION BY conv_id, role ORDER BY turn) AS r FROM conversations) WHERE r = 1")
