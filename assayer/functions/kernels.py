@@ -12,6 +12,10 @@ class Unreadable(ValueError):
     """The bytes are no image that this decoder reads."""
 
 
+class Unsupported(Unreadable):
+    """The bytes are an image of a kind that no decoder reads."""
+
+
 def encode_png(pixels: np.ndarray) -> bytes:
     """An 8-bit grayscale PNG (for exports and tests)."""
     h, w = pixels.shape
@@ -85,7 +89,20 @@ def decode_pgm(data: bytes) -> np.ndarray:
 
 
 def decode_image(data: bytes) -> np.ndarray:
-    return decode_pgm(data) if data[:2] == b"P5" else decode_png(data)
+    """Pixels of an image, by its first bytes."""
+    from assayer.functions import codecs
+
+    if data[:2] == b"P5":
+        return decode_pgm(data)
+    if data[:4] in (b"II*\0", b"MM\0*"):
+        return codecs.decode_tiff(data)
+    if data[:3] == b"\xff\xd8\xff":
+        return codecs.decode_jpeg(data)
+    if data[:2] == b"BM":
+        return codecs.decode_bmp(data)
+    if data[:4] == b"RIFF" and data[8:12] == b"WEBP" or data[:4] in (b"II+\0", b"MM\0+") or data[:3] == b"GIF":
+        raise Unsupported("no decoder")
+    return decode_png(data)
 
 
 def nifti_header(data: bytes) -> dict:

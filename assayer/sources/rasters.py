@@ -23,7 +23,7 @@ def _profile(data: bytes, labels: bool) -> dict:
     try:
         pixels = kernels.decode_image(bytes(data))
     except (kernels.Unreadable, ValueError, TypeError) as e:
-        return {"status": f"unreadable: {e}"[:200]}
+        return {"status": f"{'unsupported' if isinstance(e, kernels.Unsupported) else 'unreadable'}: {e}"[:200]}
     out = {"status": "ok", "shape": list(pixels.shape), "pixel_sha256": hashlib.sha256(repr(pixels.shape).encode() + pixels.tobytes()).hexdigest()}
     if labels and pixels.ndim == 2:
         p = kernels.label_profile(pixels)
