@@ -6,10 +6,13 @@ import json
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from assayer.functions import jsonblocks
+
 BOX_ITEMS = "array<struct<`External ID`:string,Label:struct<objects:array<struct<title:string,`bounding box`:array<double>,polygons:array<array<array<double>>>>>>>>"
 COCO = "struct<images:array<struct<id:bigint,file_name:string>>,annotations:array<struct<id:bigint,image_id:bigint,category_id:bigint,bbox:array<double>>>,categories:array<struct<id:bigint,name:string>>>"
 
@@ -75,34 +78,22 @@ def label_schema(document: Column) -> Column:
 
 def json_blocks(text: str | None) -> list[str]:
     """Top-level JSON objects inside free text, by balanced braces outside strings."""
-    out, depth, start, quoted, escaped = [], 0, 0, False, False
-    for i, ch in enumerate(text or ""):
-        if quoted:
-            if escaped:
-                escaped = False
-            elif ch == "\\":
-                escaped = True
-            elif ch == '"':
-                quoted = False
-        elif ch == '"' and depth:
-            quoted = True
-        elif ch == "{":
-            start = i if depth == 0 else start
-            depth += 1
-        elif ch == "}" and depth:
-            depth -= 1
-            if depth == 0:
-                out.append(text[start : i + 1])
-    return out
+    return jsonblocks.blocks(pa.array([text], pa.string()))[0].as_py()
 
 
 def split_json_blocks(text: Column) -> Column:
     """Braces cannot be balanced by a regular expression: one Arrow-batched function."""
 
-    def run(s: pd.Series) -> pd.Series:
-        return s.map(json_blocks)
+    @F.arrow_udf(T.ArrayType(T.StringType()))
+    def run(texts: pa.Array) -> pa.Array:
+        return jsonblocks.blocks(texts)
+
+    return run(text)
+
 
-    return F.pandas_udf(run, T.ArrayType(T.StringType()))(text)
+def json_objects(df: DataFrame, text: str) -> DataFrame:
+    """A row for each object inside ``text``: the columns of ``df``, ``nth`` (from 0) and ``object``; texts without any have no row."""
+    return df.select("*", F.posexplode(split_json_blocks(F.col(text))).alias("nth", "object"))
 
 
 def model_output(text: Column) -> Column:
