@@ -118,6 +118,27 @@ def nifti_header(data: bytes) -> dict:
     raise Unreadable("no NIfTI-1 header")
 
 
+def nifti_geometry(data: bytes) -> dict:
+    """Transform codes, the spacing of the affine and its axis codes, from the s-form, else the q-form, else the spacing alone."""
+    if data[:2] == b"\x1f\x8b":
+        data = zlib.decompressobj(31).decompress(data, 352)
+    head = nifti_header(data)
+    order = head["order"]
+    q, s = struct.unpack(order + "2h", data[252:256])
+    zooms = np.array((head["spacing"] + [1.0, 1.0, 1.0])[:3])
+    if s > 0:
+        affine = np.array(struct.unpack(order + "12f", data[280:328])).reshape(3, 4)[:, :3]
+    elif q > 0:
+        b, c, d = struct.unpack(order + "3f", data[256:268])
+        a = max(0.0, 1 - b * b - c * c - d * d) ** 0.5
+        turn = np.array([[a * a + b * b - c * c - d * d, 2 * (b * c - a * d), 2 * (b * d + a * c)], [2 * (b * c + a * d), a * a + c * c - b * b - d * d, 2 * (c * d - a * b)], [2 * (b * d - a * c), 2 * (c * d + a * b), a * a + d * d - b * b - c * c]])
+        affine = turn * zooms * np.array([1, 1, -1 if struct.unpack(order + "f", data[76:80])[0] < 0 else 1])
+    else:
+        affine = np.diag(zooms)
+    codes = "".join(("RAS" if column[axis] > 0 else "LPI")[axis] for column in affine.T for axis in [int(np.abs(column).argmax())])
+    return {"transform_codes": int(q > 0) + int(s > 0), "header_spacing": np.sqrt((affine**2).sum(axis=0)).tolist()[: len(head["spacing"])], "orientation": codes}
+
+
 _NIFTI_TYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
 
 
@@ -160,10 +181,12 @@ def label_profile(pixels: np.ndarray, tiny: int = 16, most: int = 900_000) -> di
     step = max(1, int(np.ceil(np.sqrt(pixels.size / most))))
     small = pixels[tuple(slice(None, None, step) for _ in range(pixels.ndim))]
     total = little = 0
-    for v in values[values != 0]:
+    regions = {}
+    for v in values[values != 0].tolist():
         sizes = np.bincount(components(small == v).ravel())[1:]
-        total, little = total + int((sizes > 0).sum()), little + int(((sizes > 0) & (sizes < tiny)).sum())
-    return {"values": values.tolist(), "histogram": counts.tolist(), "foreground_ratio": float((pixels != 0).mean()) if pixels.size else 0.0, "components": total, "tiny_components": little}
+        regions[v] = int((sizes > 0).sum())
+        total, little = total + regions[v], little + int(((sizes > 0) & (sizes < tiny)).sum())
+    return {"values": values.tolist(), "histogram": counts.tolist(), "foreground_ratio": float((pixels != 0).mean()) if pixels.size else 0.0, "components": total, "tiny_components": little, "regions": regions}
 
 
 def foreground_box(mask: np.ndarray) -> list[int] | None:

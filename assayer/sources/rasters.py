@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from assayer.functions import filters, kernels, volumes
 from assayer.sources.dicom import STATS
 
-_PROFILE = "status string, shape array<int>, label_values array<int>, foreground_ratio double, components int, tiny_components int, pixel_sha256 string"
+_PROFILE = "status string, shape array<int>, label_values array<int>, foreground_ratio double, components int, tiny_components int, regions map<int,int>, pixel_sha256 string"
 _VOLUME = f"status string, shape array<int>, spacing array<double>, {STATS}"
 #: Decoders of volume suffixes; more can be registered where their libraries are installed.
 VOLUME_READERS: dict[str, Callable] = {".nii": kernels.nifti_volume, ".nii.gz": kernels.nifti_volume, ".mha": volumes.attached_volume, ".nrrd": volumes.attached_volume}
@@ -28,7 +28,7 @@ def _profile(data: bytes, labels: bool) -> dict:
     out = {"status": "ok", "shape": list(pixels.shape), "pixel_sha256": hashlib.sha256(repr(pixels.shape).encode() + pixels.tobytes()).hexdigest()}
     if labels and pixels.ndim == 2:
         p = kernels.label_profile(pixels)
-        out |= {"label_values": p["values"], "foreground_ratio": p["foreground_ratio"], "components": p["components"], "tiny_components": p["tiny_components"]}
+        out |= {"label_values": p["values"], "foreground_ratio": p["foreground_ratio"], "components": p["components"], "tiny_components": p["tiny_components"], "regions": p["regions"]}
     return out
 
 
