@@ -57,6 +57,19 @@ class EliasFano:
         high = self._select(self.ones, i, False) - i
         return (high << self.low_bits) | self.low[i].astype(np.int64)
 
+    def _range(self, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """First and end index of the elements with each high part; runs of equal ones are looked up once."""
+        head = np.append(True, high[1:] != high[:-1])
+        part = high[head]
+        a = np.zeros(len(part), np.int64)
+        some = np.flatnonzero(part > 0)
+        a[some] = self._select(self.zeros, part[some] - 1, True) - (part[some] - 1)
+        b = self._select(self.zeros, part, True) - part
+        if len(part) == len(high):
+            return a, b
+        run = np.cumsum(head) - 1
+        return a[run], b[run]
+
     def find(self, values: np.ndarray) -> np.ndarray:
         """Index of the first element equal to each value, or -1: a successor search among the elements of the value's high part."""
         values = np.asarray(values, np.int64)
@@ -64,12 +77,9 @@ class EliasFano:
         if not self.size or not len(values):
             return out
         high, low = values >> self.low_bits, values & ((1 << self.low_bits) - 1)
-        a = np.zeros(len(values), np.int64)
-        some = np.flatnonzero(high > 0)
-        a[some] = self._select(self.zeros, high[some] - 1, True) - (high[some] - 1)
-        end = b = self._select(self.zeros, high, True) - high
-        todo = np.flatnonzero(a < b)
-        b = b.copy()
+        a, end = self._range(high)
+        todo = np.flatnonzero(a < end)
+        b = end.copy()
         while len(todo):
             middle = (a[todo] + b[todo]) >> 1
             below = self.low[middle].astype(np.int64) < low[todo]

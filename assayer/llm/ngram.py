@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-import zlib
 from collections.abc import Iterator
 from math import ceil
 
@@ -44,12 +43,30 @@ END = np.uint64(0x9D5C3A1F00000001)
 PRIOR = 2.0
 
 
+def _squeeze(data: bytes) -> bytes:
+    return pa.compress(data, codec="zstd", asbytes=True) if data else b""
+
+
+def _expand(data: bytes, size: int) -> bytes:
+    return pa.decompress(data, decompressed_size=size, codec="zstd", asbytes=True) if size else b""
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct values and each value's place among them, by a hash table: only the distinct ones are sorted."""
+    coded = pa.array(values).dictionary_encode()
+    found = coded.dictionary.to_numpy(zero_copy_only=False)
+    order = np.argsort(found)
+    place = np.empty(len(found), np.int64)
+    place[order] = np.arange(len(found))
+    return found[order], place[coded.indices.to_numpy(zero_copy_only=False)]
+
+
 def _pack(*arrays: np.ndarray) -> bytes:
     """Integer arrays as compressed byte planes."""
     out = [len(arrays).to_bytes(4, "little")]
     for a in arrays:
         a = np.ascontiguousarray(a)
-        planes = zlib.compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes(), 1) if len(a) else b""
+        planes = _squeeze(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes())
         out += [a.dtype.str.encode().ljust(4), len(a).to_bytes(8, "little"), len(planes).to_bytes(8, "little"), planes]
     return b"".join(out)
 
@@ -61,7 +78,7 @@ def _unpack(blob: bytes) -> list[np.ndarray]:
         n, size = int.from_bytes(blob[at + 4 : at + 12], "little"), int.from_bytes(blob[at + 12 : at + 20], "little")
         at += 20
         if n:
-            out.append(np.ascontiguousarray(np.frombuffer(zlib.decompress(blob[at : at + size]), np.uint8).reshape(dtype.itemsize, n).T).view(dtype).ravel())
+            out.append(np.ascontiguousarray(np.frombuffer(_expand(blob[at : at + size], n * dtype.itemsize), np.uint8).reshape(dtype.itemsize, n).T).view(dtype).ravel())
         else:
             out.append(np.zeros(0, dtype))
         at += size
@@ -91,7 +108,7 @@ def text_blocks(docs: DataFrame, key: str, text: str) -> DataFrame:
 
         def flush() -> pa.RecordBatch:
             flags = pa.array([np.packbits(np.array(train, bool)).tobytes()], pa.binary())
-            blob = pa.array([zlib.compress(b"".join(parts), 1)], pa.binary())
+            blob = pa.array([_squeeze(b"".join(parts))], pa.binary())
             column = pa.concat_arrays(keys)
             names = ["block", "keys", "train", "sizes", "bytes"]
             return pa.RecordBatch.from_arrays([pa.array([base + nr], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(column)], pa.int32()), column), flags, pa.array([_pack(np.concatenate(sizes))], pa.binary()), blob], names=names)
@@ -121,7 +138,8 @@ class _Tokens:
         sizes = _unpack(row["sizes"])[0]
         self.docs = len(sizes)
         self.train = np.unpackbits(np.frombuffer(row["train"], np.uint8))[: self.docs].astype(bool)
-        data, off = np.frombuffer(zlib.decompress(row["bytes"]), np.uint8), np.append(0, np.cumsum(sizes))
+        off = np.append(0, np.cumsum(sizes))
+        data = np.frombuffer(_expand(row["bytes"], int(off[-1])), np.uint8)
         parts, counts = [], []
         for a, b in slices(off, SLICE_BYTES):
             block = Block(data[off[a] : off[b]], off[a : b + 1] - off[a], lower=True)
@@ -131,7 +149,7 @@ class _Tokens:
             parts.append(out), counts.append(np.bincount(doc, minlength=block.docs) + 1)
         self.lengths = np.concatenate(counts) if counts else np.zeros(0, np.int64)
         tokens = np.concatenate(parts) if parts else np.zeros(0, np.uint64)
-        self.words, self.at = np.unique(tokens, return_inverse=True)
+        self.words, self.at = _distinct(tokens)
         self.training = np.repeat(self.train, self.lengths)
         self.first = np.append(0, np.cumsum(self.lengths))[:-1]
 
@@ -291,6 +309,15 @@ class Trie:
         return two, three
 
 
+def _trigram_order(v: np.ndarray, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """An order by v, u, w: of one key where all three fit into it, with v by rank, since an owner has few of them."""
+    contexts, rank = _distinct(v)
+    wide, low = int(u.max(initial=0)).bit_length(), int(w.max(initial=0)).bit_length()
+    if len(contexts).bit_length() + wide + low < 64:
+        return np.argsort((rank << wide | u) << low | w)
+    return np.lexsort((w, u, rank))
+
+
 def _count_trigrams(table: pa.Table) -> pa.Table:
     sent = []
     for b in table.column("blob").to_pylist():
@@ -299,7 +326,7 @@ def _count_trigrams(table: pa.Table) -> pa.Table:
     edges = np.cumsum([len(x[0]) for x in sent])[:-1]
     v, u, w, seen = map(np.concatenate, zip(*sent, strict=True))
     del sent
-    order = np.lexsort((w, u, v))
+    order = _trigram_order(v, u, w)
     v, u, w = v[order], u[order], w[order]
     new = np.append(True, (v[1:] != v[:-1]) | (u[1:] != u[:-1]) | (w[1:] != w[:-1]))
     at = np.empty(len(v), np.int64)
