@@ -135,6 +135,15 @@ def sum_sketch(slices_: DataFrame) -> np.ndarray:
     return out.ravel()
 
 
+def mean_list(sketch: np.ndarray) -> float:
+    """The mean length of a posting's list, summed in slices, so that the driver holds no second copy of the sketch."""
+    total = squares = 0.0
+    for at in range(0, len(sketch), 1 << 16):
+        part = sketch[at : at + (1 << 16)].astype(np.float64)
+        total, squares = total + float(part.sum()), squares + float((part**2).sum())
+    return squares / total if total else 1.0
+
+
 def light_boundary(sizes: dict[int, int], mean_list: float, scan_cost: float = 0.1) -> int:
     """The largest size up to which enumerating subsets costs no more than scanning lists."""
     best, light, heavy = 2, 0.0, 0.0
@@ -328,15 +337,14 @@ def jaccard_classes(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     rows = made.where("slice is null").select("row_key", "node", "n")
     sketch = sum_sketch(made.where("slice is not null").select("slice", "counts"))
     sizes = {r["n"]: r["count"] for r in rows.where(F.col("n").between(3, MAX_LIGHT)).groupBy("n").count().collect()}
-    weights = sketch[sketch > 0].astype(np.float64)
-    boundary = light_boundary(sizes, float((weights**2).sum() / weights.sum()) if len(weights) else 1.0)
+    boundary = light_boundary(sizes, mean_list(sketch))
     heavy = F.when(4 * F.col("n") > 3 * boundary, F.floor(F.col("n") / 4) + 1).otherwise(0)
     held = (rows.agg(F.sum(heavy)).first()[0] or 0) + sum(c * comb(n - required(n) + 2, 2) for n, c in sizes.items() if n <= boundary)
     parallel = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(parallel, ceil(held / BUCKET_POSTINGS))
 
     sent = spark.sparkContext.broadcast(sketch)  # 2 ** SKETCH_BITS counters
-    del sketch, weights
+    del sketch
     packed = postings(docs, sent, boundary, buckets, text, width)
     lists = _whole_lists(materialise(packed.groupBy("bucket").applyInArrow(_lists(), "k long, node long, n int, pos int, salted boolean"), "set-lists"))
     sent.destroy()
