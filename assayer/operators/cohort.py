@@ -37,7 +37,7 @@ def _narrowed(rows: DataFrame, targets: DataFrame, keys: list[str], bucket: Colu
 def exact_quantiles(df: DataFrame, value: Column, by: list[str], shares: Sequence[float], sorted_values: int = SORTED_VALUES) -> DataFrame:
     """(by, n, q): exact quantiles with linear interpolation, one row a group; null and NaN are no values.
 
-    No task holds a group: rounds count values in ``WIDTH`` equal parts of a range and go on with the
+    No task holds a group of more than ``sorted_values`` values: where there are such, rounds count values in ``WIDTH`` equal parts of a range and go on with the
     parts that hold a wanted rank, until a part has at most ``sorted_values`` values, which are sorted.
     Groups of null keys stay; infinities are values; an empty table has no rows.
     """
@@ -45,13 +45,15 @@ def exact_quantiles(df: DataFrame, value: Column, by: list[str], shares: Sequenc
     at = [(F.col("n") - 1) * F.lit(float(p)) for p in shares]
     ranks = F.array_sort(F.array_distinct(F.array(*[f(x).cast("long") for x in at for f in (F.floor, F.ceil)])))
     targets = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("v_").alias("lo"), F.max("v_").alias("hi"))
+    largest = targets.agg(F.max("n")).first()[0] or 0
+    if largest <= sorted_values:  # every group fits into a task: one aggregate
+        return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile("v_", F.array(*[F.lit(float(p)) for p in shares])).alias("q"))
     targets = _settled(targets.select(*by, "n", "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("m"), ranks.alias("ranks")))
     part = F.floor((F.col("v_") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * WIDTH)
     part = F.when(F.col("v_") == F.col("lo"), -1).when(F.col("v_") == F.col("hi"), WIDTH).otherwise(part)
     while not targets.where((F.col("lo") < F.col("hi")) & (F.col("m") > sorted_values)).isEmpty():
         targets = _settled(_narrowed(rows, targets, by, part))
-    once = rows.groupBy(*by, "v_").agg(F.sum("c_").alias("c_"))
-    found = _narrowed(once, targets, by, F.col("v_")).select(*by, "n", F.explode("ranks").alias("rank"), F.col("lo").alias("v_"))
+    found = _narrowed(rows, targets, by, F.col("v_"))  # joined with the few ranges first, counted after.select(*by, "n", F.explode("ranks").alias("rank"), F.col("lo").alias("v_"))
     held = found.groupBy(*by, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v_"))).alias("at_"))  # two ranks a share
 
     def between(x: Column) -> Column:
