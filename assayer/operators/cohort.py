@@ -53,7 +53,8 @@ def exact_quantiles(df: DataFrame, value: Column, by: list[str], shares: Sequenc
     part = F.when(F.col("v_") == F.col("lo"), -1).when(F.col("v_") == F.col("hi"), WIDTH).otherwise(part)
     while not targets.where((F.col("lo") < F.col("hi")) & (F.col("m") > sorted_values)).isEmpty():
         targets = _settled(_narrowed(rows, targets, by, part))
-    found = _narrowed(rows, targets, by, F.col("v_"))  # joined with the few ranges first, counted after.select(*by, "n", F.explode("ranks").alias("rank"), F.col("lo").alias("v_"))
+    # joined with the few ranges first, counted after
+    found = _narrowed(rows, targets, by, F.col("v_")).select(*by, "n", F.explode("ranks").alias("rank"), F.col("lo").alias("v_"))
     held = found.groupBy(*by, "n").agg(F.map_from_entries(F.collect_list(F.struct("rank", "v_"))).alias("at_"))  # two ranks a share
 
     def between(x: Column) -> Column:
