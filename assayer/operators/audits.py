@@ -271,8 +271,10 @@ def problem_cases(findings: DataFrame) -> DataFrame:
     return findings.groupBy("domain").agg(F.sort_array(F.collect_set("case_id")).alias("cases"), F.countDistinct("case_id").alias("n_cases"))
 
 
-def top_findings(findings: DataFrame, n: int = 20) -> DataFrame:
-    return findings.groupBy("code").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "code").limit(n)
+def top_findings(findings: DataFrame, n: int = 20, code: str = "code", order: str | None = None) -> DataFrame:
+    """The most frequent codes; of equally frequent ones the first by name, or that which was first seen by ``order``."""
+    seen = [F.min(order).alias("first_seen")] if order else []
+    return findings.groupBy(code).agg(F.count(F.lit(1)).alias("n"), *seen).orderBy(F.desc("n"), "first_seen" if order else code).limit(n)
 
 
 def corrections(findings: DataFrame, status: DataFrame) -> DataFrame:

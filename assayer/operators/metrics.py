@@ -55,3 +55,9 @@ def weighted_rubric(checks: dict[str, tuple[Column, float]]) -> Column:
     top = sum((F.coalesce(c.cast("double") * w, F.lit(0.0)) for c, w in checks.values()), F.lit(0.0))
     base = sum((F.when(c.isNotNull(), w).otherwise(0.0) for c, w in checks.values()), F.lit(0.0))
     return F.when(base > 0, top / base)
+
+
+def mean_difference(df: DataFrame, group: str, value: str, baseline: object, other: object) -> DataFrame:
+    """One row: the means of two groups and by how much the second exceeds the first; null where a group is empty."""
+    mean = lambda g: F.avg(F.when(F.col(group) == g, F.col(value)))
+    return df.agg(mean(baseline).alias("baseline"), mean(other).alias("platform"), (mean(other) - mean(baseline)).alias("difference"))

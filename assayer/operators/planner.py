@@ -42,12 +42,12 @@ def validate_decision(decision: dict) -> list[str]:
     return out
 
 
-def methods(registry: DataFrame, *, domain: str, task: str, modality: str, mode: str, dataset: str | None = None) -> DataFrame:
-    """Methods that a request may use, best first (a bonus for ensembles; ties in registry order)."""
+def methods(registry: DataFrame, *, domain: str, task: str, modality: str, mode: str, dataset: str | None = None, bonus: str = "tta|ensemble") -> DataFrame:
+    """Methods that a request may use, best first (a bonus for ids that match ``bonus``, as ensembles; ties in registry order)."""
     ok = (F.col("domain") == domain) & (F.col("task_family") == task) & (F.col("modality") == modality) & F.array_contains("allowed_modes", mode)
     if dataset is not None:
         ok = ok & F.array_contains("datasets", dataset)
-    score = F.lit(10) + F.when(F.lower("id").rlike("tta|ensemble"), 10).otherwise(0)
+    score = F.lit(10) + F.when(F.lower("id").rlike(bonus), 10).otherwise(0)
     return registry.where(ok & (F.col("status") == "active")).withColumn("score", score).orderBy(F.desc("score"), "pos")
 
 

@@ -122,6 +122,25 @@ def best_so_far(df: DataFrame, by: str, order: str, keys: Sequence[Column], valu
     return df.withColumn("best", F.max_by(value, F.struct(*[k.alias(f"k{i}") for i, k in enumerate(keys)], (-F.col(order)).alias("o"))).over(w))
 
 
+def consecutive_repeats(df: DataFrame, by: str, order: Sequence[str], value: str) -> DataFrame:
+    """(by, repeats, n): rows that repeat the value of the row before them, and all rows; nulls repeat nothing."""
+    before = F.lag(value).over(Window.partitionBy(by).orderBy(*order))
+    return df.select(by, (F.col(value) == before).alias("same_")).groupBy(by).agg(F.count_if("same_").alias("repeats"), F.count(F.lit(1)).alias("n"))
+
+
+def wide(df: DataFrame, key: str, metric: str, value: str) -> DataFrame:
+    """One row a key with a column for every metric, in the order of their names; of a metric that a key has twice the larger value."""
+    names = sorted(r[metric] for r in df.select(metric).distinct().collect() if r[metric] is not None)  # the kinds of metrics
+    columns = [F.max(F.when(F.col(metric) == n, F.col(value))).alias(n) for n in names]
+    return df.groupBy(key).agg(*columns) if columns else df.select(key).distinct()
+
+
+def totals(df: DataFrame, by: Sequence[str], sums: Sequence[str], whole: str = "all") -> DataFrame:
+    """Numbers of rows and sums for every level of ``by``, from the finest to all rows; ``whole`` stands for what is summed over."""
+    g = df.rollup(*by).agg(F.count(F.lit(1)).alias("n"), *[F.sum(c).alias(c) for c in sums])
+    return g.withColumns({c: F.coalesce(c, F.lit(whole)) for c in by})
+
+
 def topped_up(df: DataFrame, by: str, order: str, per_group: int, least: int = 4) -> DataFrame:
     """The first rows of every group; if that gives fewer than ``least``, the next rows in order come along."""
     nth = F.row_number().over(Window.partitionBy(by).orderBy(order))

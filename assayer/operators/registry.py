@@ -40,14 +40,16 @@ def upsert(old: DataFrame, new: DataFrame, key: str, keep: tuple[str, ...] = ("r
     return o.join(n, key, "full_outer").select(key, *[pick(c).alias(c) for c in columns])
 
 
-def lineage(models: DataFrame, datasets: DataFrame, on: str = "dataset_id") -> DataFrame:
-    return models.join(datasets, on, "inner").select(on, "model_id", F.lit("trained_on").alias("relation"))
+def lineage(models: DataFrame, datasets: DataFrame, on: str = "dataset_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """Which model was trained on which dataset, with the columns ``keep`` of either side; models of unknown datasets have no row."""
+    return models.join(datasets, on, "inner").select(on, "model_id", F.lit("trained_on").alias("relation"), *keep)
 
 
-def trace_totals(events: DataFrame, by: str = "agent") -> DataFrame:
-    """total, completed, failed, skipped and milliseconds of each agent's calls."""
+def trace_totals(events: DataFrame, *by: str) -> DataFrame:
+    """total, completed, failed, skipped, milliseconds and their mean of each agent's calls (or of each value of ``by``)."""
     count = lambda s: F.count_if(F.col("status") == s).alias(s)
-    return events.groupBy(by).agg(F.count(F.lit(1)).alias("total"), count("completed"), count("failed"), count("skipped"), F.sum("duration_ms").alias("duration_ms"))
+    took = F.col("duration_ms")
+    return events.groupBy(*(by or ("agent",))).agg(F.count(F.lit(1)).alias("total"), count("completed"), count("failed"), count("skipped"), F.sum(took).alias("duration_ms"), F.avg(took).alias("mean_ms"))
 
 
 def first_events(events: DataFrame, key: str = "call_id", order: str = "sequence") -> DataFrame:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assayer.operators import cohort, dedup, metrics, splits
+from assayer.operators import audits, cohort, dedup, metrics, planner, records, registry, splits
 from assayer.operators.rules import Rule, invalid_values, issues, row_status
+from assayer.sources import documents, files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -147,7 +148,7 @@ WITH s AS (SELECT regexp_extract(regexp_replace(url, '[?#].*$', ''), '^[a-z]+://
 SELECT folder, count(*) AS n FROM s GROUP BY folder ORDER BY n DESC, folder LIMIT 50""")
 def suffix_inventory(t) -> DataFrame:
     folder = F.regexp_extract(F.regexp_replace("url", "[?#].*$", ""), "^[a-z]+://[^/]+/([^/]*)", 1)
-    return t("pages").groupBy(folder.alias("folder")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "folder").limit(50)
+    return files.frequent(t("pages").select(folder.alias("folder")), "folder")
 
 
 @query("""
@@ -176,10 +177,19 @@ SELECT split, image_id, l_linenumber AS annotation_nr, p_type AS category, l_qua
 FROM i JOIN lineitem ON l_orderkey = o_orderkey JOIN part ON p_partkey = l_partkey""")
 def coco_annotations(t) -> DataFrame:
     images = splits.sequential_ids(t("orders").select("o_orderkey", F.col("o_orderstatus").alias("split")), "split", "o_orderkey", "image_id")
-    boxes = t("lineitem").select("l_orderkey", "l_partkey", "l_linenumber", (F.col("l_quantity") * F.col("l_extendedprice")).alias("area"))
-    parts = t("part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("category"))
-    joined = boxes.join(images.withColumnRenamed("o_orderkey", "l_orderkey"), "l_orderkey").join(parts, "l_partkey")
-    return joined.select("split", "image_id", F.col("l_linenumber").alias("annotation_nr"), "category", "area")
+    lines = t("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity", "l_extendedprice")
+    parts = t("part").select(F.col("p_partkey").alias("l_partkey"), "p_type")
+    # one document an order: its lines are the annotations, with a box of quantity by price at the line's number
+    j = lines.join(parts, "l_partkey").join(images, F.col("l_orderkey") == F.col("o_orderkey"))
+    box = F.array(F.col("l_linenumber").cast("double"), F.lit(0.0), F.col("l_quantity"), F.col("l_extendedprice"))
+    a = F.struct(F.col("l_linenumber").cast("long").alias("id"), F.col("image_id"), F.col("l_partkey").alias("category_id"), box.alias("bbox"))
+    c = F.struct(F.col("l_partkey").alias("id"), F.col("p_type").alias("name"))
+    docs = j.groupBy("o_orderkey", "split", "image_id").agg(F.collect_list(a).alias("annotations"), F.collect_set(c).alias("categories"))  # an order's lines
+    image = F.array(F.struct(F.col("image_id").alias("id"), F.concat_ws("/", "split", F.col("image_id").cast("string")).alias("file_name")))
+    text = docs.select("o_orderkey", F.to_json(F.struct(image.alias("images"), "annotations", "categories")).alias("text"))
+    found = documents.coco_annotations(text, key="o_orderkey")
+    part, b = F.split("case_id", "/"), F.col("bbox_xyxy")
+    return found.select(part[0].alias("split"), part[1].cast("long").alias("image_id"), F.round(b[0]).cast("int").alias("annotation_nr"), F.col("label").alias("category"), ((F.round(b[2] - b[0])) * b[3]).alias("area"))
 
 
 @query("""
@@ -221,45 +231,47 @@ def psnr_ssim(t) -> DataFrame:
 @query("""
 SELECT o_orderpriority, o_orderkey, o_totalprice FROM (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r = 1""")
 def best_trial(t) -> DataFrame:
-    best = F.max_by(F.struct("o_orderkey", "o_totalprice"), F.struct("o_totalprice", -F.col("o_orderkey")))
-    return t("orders").groupBy("o_orderpriority").agg(best.alias("b")).select("o_orderpriority", "b.o_orderkey", "b.o_totalprice")
+    return registry.best_record(t("orders"), [F.col("o_totalprice")], "o_orderkey", ["o_orderpriority"]).select("o_orderpriority", "o_orderkey", "o_totalprice")
 
 
 @query("SELECT o_custkey, o_orderkey, max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS best_so_far FROM orders")
 def running_best(t) -> DataFrame:
-    w = Window.partitionBy("o_custkey").orderBy("o_orderkey").rowsBetween(Window.unboundedPreceding, 0)
-    return t("orders").select("o_custkey", "o_orderkey", F.max("o_totalprice").over(w).alias("best_so_far"))
+    best = records.best_so_far(t("orders"), "o_custkey", "o_orderkey", [F.col("o_totalprice")], "o_totalprice")
+    return best.select("o_custkey", "o_orderkey", F.col("best").alias("best_so_far"))
 
 
 @query("""
 SELECT user_id, event_type, count(*) AS total, count(*) FILTER (WHERE event_type = 'error') AS failed, round(sum(value), 4) AS duration, round(avg(value), 6) AS mean_duration FROM events GROUP BY 1, 2""")
 def trace_summary(t) -> DataFrame:
-    return t("events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("event_type") == "error").alias("failed"), F.round(F.sum("value"), 4).alias("duration"), F.round(F.avg("value"), 6).alias("mean_duration"))
+    e = t("events").select("user_id", "event_type", F.when(F.col("event_type") == "error", "failed").otherwise("completed").alias("status"), F.col("value").alias("duration_ms"))
+    out = registry.trace_totals(e, "user_id", "event_type")
+    return out.select("user_id", "event_type", "total", "failed", F.round("duration_ms", 4).alias("duration"), F.round("mean_ms", 6).alias("mean_duration"))
 
 
 @query("""
 SELECT user_id, count(*) FILTER (WHERE event_type = p) AS repeats, count(*) AS n FROM (SELECT user_id, event_type, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p FROM events) GROUP BY user_id""")
 def consecutive_repeats(t) -> DataFrame:
-    before = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
-    return t("events").select("user_id", "event_type", before.alias("p")).groupBy("user_id").agg(F.count_if(F.col("event_type") == F.col("p")).alias("repeats"), F.count(F.lit(1)).alias("n"))
+    return records.consecutive_repeats(t("events"), "user_id", ["ts", "event_id"], "event_type")
 
 
 @query("SELECT event_type, count(*) AS n, min(event_id) AS first_seen FROM events GROUP BY 1 ORDER BY n DESC, first_seen LIMIT 20")
 def finding_topk(t) -> DataFrame:
-    return t("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("event_id").alias("first_seen")).orderBy(F.desc("n"), "first_seen").limit(20)
+    return audits.top_findings(t("events"), 20, "event_type", "event_id")
 
 
 @query("""
 SELECT event_type, count(*) AS n, CAST(sum(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS BIGINT) AS k_sum, count(TRY_CAST(json_extract_string(props, '$.k') AS BIGINT)) AS parsed FROM events GROUP BY 1""")
 def json_props(t) -> DataFrame:
-    k = F.get_json_object("props", "$.k").try_cast("long")
+    k = documents.optional_field(F.col("props"), "k", "long")
     return t("events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(k).alias("k_sum"), F.count(k).alias("parsed"))
 
 
 @query("""
 SELECT r_name, n_name, count(*) AS n_suppliers, round(sum(s_acctbal), 2) AS balance FROM region JOIN nation ON r_regionkey = n_regionkey JOIN supplier ON s_nationkey = n_nationkey GROUP BY 1, 2""")
 def lineage_join(t) -> DataFrame:
-    j = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey")).join(t("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    places = t("nation").join(t("region"), F.col("n_regionkey") == F.col("r_regionkey")).withColumnRenamed("n_nationkey", "dataset_id")
+    models = t("supplier").select(F.col("s_nationkey").alias("dataset_id"), F.col("s_suppkey").alias("model_id"), "s_acctbal")
+    j = registry.lineage(models, places, keep=("r_name", "n_name", "s_acctbal"))
     return j.groupBy("r_name", "n_name").agg(F.count(F.lit(1)).alias("n_suppliers"), F.round(F.sum("s_acctbal"), 2).alias("balance"))
 
 
@@ -267,11 +279,13 @@ def lineage_join(t) -> DataFrame:
 SELECT p_brand, p_partkey, score FROM (SELECT p_brand, p_partkey, CASE WHEN p_name LIKE '%ring%' THEN 20 ELSE 10 END AS score,
  row_number() OVER (PARTITION BY p_brand ORDER BY CASE WHEN p_name LIKE '%ring%' THEN 20 ELSE 10 END DESC, p_partkey) AS r FROM part WHERE p_size BETWEEN 5 AND 30 AND p_type IN ('ECONOMY', 'SMALL', 'STANDARD')) WHERE r = 1""")
 def method_selection(t) -> DataFrame:
-    allowed = t("part").where(F.col("p_size").between(5, 30) & F.col("p_type").isin("ECONOMY", "SMALL", "STANDARD"))
-    score = F.when(F.col("p_name").contains("ring"), 20).otherwise(10)
-    ranked = allowed.select("p_brand", "p_partkey", score.alias("score"))
-    best = F.max_by(F.struct("p_partkey", "score"), F.struct("score", -F.col("p_partkey")))
-    return ranked.groupBy("p_brand").agg(best.alias("b")).select("p_brand", "b.p_partkey", "b.score")
+    kind = F.when(F.col("p_type").isin("ECONOMY", "SMALL", "STANDARD"), "plain")
+    table = t("part").select(
+        "p_brand", F.col("p_partkey").alias("pos"), F.col("p_name").alias("id"), F.lit("parts").alias("domain"), kind.alias("task_family"), F.lit("2d").alias("modality"), F.lit("active").alias("status"),
+        F.when(F.col("p_size").between(5, 30), F.array(F.lit("train"))).otherwise(F.array(F.lit("infer"))).alias("allowed_modes"),
+    )
+    allowed = planner.methods(table, domain="parts", task="plain", modality="2d", mode="train", bonus="ring")
+    return registry.best_record(allowed, [F.col("score")], "pos", ["p_brand"]).select("p_brand", F.col("pos").alias("p_partkey"), "score")
 
 
 @query(r"""
@@ -321,11 +335,11 @@ def injection_recall(t) -> DataFrame:
 SELECT user_id, count(*) FILTER (WHERE event_type = 'click') AS click, count(*) FILTER (WHERE event_type = 'error') AS error, count(*) FILTER (WHERE event_type = 'purchase') AS purchase,
  count(*) FILTER (WHERE event_type = 'signup') AS signup, count(*) FILTER (WHERE event_type = 'view') AS view FROM events GROUP BY user_id""")
 def scalar_pivot(t) -> DataFrame:
-    return t("events").groupBy("user_id").pivot("event_type", ["click", "error", "purchase", "signup", "view"]).count().na.fill(0)
+    counts = t("events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return records.wide(counts, "user_id", "event_type", "n").na.fill(0)
 
 
 @query(f"SELECT coalesce(split, 'all') AS split, coalesce(lang, 'all') AS lang, count(*) AS n, CAST(sum(n_chars) AS BIGINT) AS chars FROM (SELECT {_SPLIT} AS split, coalesce(lang, '?') AS lang, n_chars FROM documents) GROUP BY ROLLUP (split, lang)")
 def rollup_totals(t) -> DataFrame:
-    d = t("documents").select(_split().alias("split"), F.coalesce("lang", F.lit("?")).alias("lang"), "n_chars")
-    g = d.rollup("split", "lang").agg(F.count(F.lit(1)).alias("n"), F.sum("n_chars").alias("chars"))
-    return g.withColumns({"split": F.coalesce("split", F.lit("all")), "lang": F.coalesce("lang", F.lit("all"))})
+    d = t("documents").select(_split().alias("split"), F.coalesce("lang", F.lit("?")).alias("lang"), F.col("n_chars").alias("chars"))
+    return records.totals(d, ["split", "lang"], ["chars"])

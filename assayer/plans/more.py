@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assayer.operators import audits, cohort, dedup, registry, splits
+from assayer.operators import audits, cohort, dedup, metrics, registry, splits
 from assayer.operators.rules import Rule, issue_counts, issues
 from assayer.plans.curation import _SPLIT, _split, query
 
@@ -77,8 +77,8 @@ def anomaly_scores(t) -> DataFrame:
 SELECT round(avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 4) AS baseline, round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END), 4) AS platform,
  round(avg(CASE WHEN o_orderstatus = 'O' THEN o_totalprice END) - avg(CASE WHEN o_orderstatus = 'F' THEN o_totalprice END), 4) AS difference FROM orders""")
 def baseline_difference(t) -> DataFrame:
-    mean = lambda s: F.avg(F.when(F.col("o_orderstatus") == s, F.col("o_totalprice")))
-    return t("orders").agg(F.round(mean("F"), 4).alias("baseline"), F.round(mean("O"), 4).alias("platform"), F.round(mean("O") - mean("F"), 4).alias("difference"))
+    out = metrics.mean_difference(t("orders"), "o_orderstatus", "o_totalprice", "F", "O")
+    return out.select(*[F.round(c, 4).alias(c) for c in out.columns])
 
 
 @query("""

@@ -28,6 +28,12 @@ def read_jsonl(spark: SparkSession, path: str, schema: str | T.StructType, stric
     return spark.read.schema(schema).option("mode", "FAILFAST" if strict else "DROPMALFORMED").json(path)
 
 
+def optional_field(document: Column, name: str, kind: str) -> Column:
+    """A field of an optional JSON object: null where the document is missing, no JSON, no object, or holds no such value."""
+    whole = F.when(F.ltrim(document).startswith("{"), document)
+    return F.get_json_object(whole, f"$.{name}").try_cast(kind)
+
+
 def texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("wholetext", True).text(path).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
 

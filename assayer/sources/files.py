@@ -30,7 +30,12 @@ def _quoted(text: str) -> str:
 def inventory(files: DataFrame, top: int = 50) -> tuple[DataFrame, DataFrame]:
     """Totals, and the most frequent suffixes (ties by name)."""
     totals = files.agg(F.count(F.lit(1)).alias("n_files"), F.sum("size_bytes").alias("bytes"), F.countDistinct(_folder()).alias("n_folders"))
-    return totals, files.groupBy("suffix").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "suffix").limit(top)
+    return totals, frequent(files, "suffix", top)
+
+
+def frequent(files: DataFrame, column: str, top: int = 50) -> DataFrame:
+    """The most frequent values with their numbers of files; of equally frequent ones the first by name."""
+    return files.groupBy(column).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), column).limit(top)
 
 
 def _folder() -> Column:
