@@ -64,6 +64,22 @@ def sequential_ids(df: DataFrame, split: str, key: str, name: str, width: int =
     return ranged.withColumn("nth_", nth).join(offsets, [split, "range_"]).withColumn(name, (F.col("nth_") + F.col("offset_")).cast("long")).drop("nth_", "offset_", "range_")
 
 
+def numbered(df: DataFrame, group: str, order: Sequence[str], name: str) -> DataFrame:
+    """Ids from 1 in ``order`` within each group, for keys of any type: rows are dealt by ranges, and a row's id is its place in its range plus
+    what the group has in earlier ranges. No task holds a group. Rows that are equal by ``order`` are numbered in any order; nulls come first.
+
+    Ranges are drawn anew when they are computed again, so they are fixed first: in the checkpoint folder, or kept by Spark where there is none.
+    """
+    placed = df.repartitionByRange(group, *order).sortWithinPartitions(group, *order).withColumn("at_", F.monotonically_increasing_id())
+    fixed = placed.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else placed.persist()
+    part = F.shiftright("at_", 33)
+    sizes = fixed.groupBy(F.col(group).alias("group_"), part.alias("part_")).agg(F.count(F.lit(1)).alias("n_"), F.min("at_").alias("first_"))
+    ahead = F.sum("n_").over(Window.partitionBy("group_").orderBy("part_").rowsBetween(Window.unboundedPreceding, -1))
+    sizes = sizes.withColumn("before_", F.coalesce(ahead, F.lit(0)))  # a row for each range of a group
+    same = F.col(group).eqNullSafe(F.col("group_")) & (part == F.col("part_"))
+    return fixed.join(sizes, same).withColumn(name, F.col("at_") - F.col("first_") + F.col("before_") + 1).select(*[c for c in df.columns if c != name], name)
+
+
 def last_wins(df: DataFrame, key: Column, value: Column, pos: Column) -> DataFrame:
     return df.groupBy(key.alias("key")).agg(F.max_by(value, pos).alias("value"))
 

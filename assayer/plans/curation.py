@@ -319,11 +319,11 @@ def rubric_totals(t) -> DataFrame:
 
 @query("""
 WITH i AS (SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN 'flip_quality' WHEN doc_id % 3 = 1 THEN 'flip_toxic' ELSE 'shift' END AS category,
- CASE WHEN doc_id % 3 = 0 THEN quality + 2 ELSE quality END AS q, CASE WHEN doc_id % 3 = 1 THEN 1 - toxic ELSE toxic END AS x FROM labels WHERE doc_id % 7 = 0)
+ CASE WHEN doc_id % 3 = 0 THEN quality + 2 ELSE quality END AS q, CASE WHEN doc_id % 3 = 1 THEN 1 - toxic ELSE toxic END AS x FROM labels)
 SELECT category, count(*) AS injected, count(*) FILTER (WHERE q NOT IN (0, 1) OR x = 1) AS detected, round(count(*) FILTER (WHERE q NOT IN (0, 1) OR x = 1) * 1.0 / count(*), 6) AS recall FROM i GROUP BY category""")
 def injection_recall(t) -> DataFrame:
     m = F.col("doc_id") % 3
-    bad = t("labels").where("doc_id % 7 = 0").select(F.col("doc_id").alias("case_id"), F.when(m == 0, "flip_quality").when(m == 1, "flip_toxic").otherwise("shift").alias("category"),
+    bad = t("labels").select(F.col("doc_id").alias("case_id"), F.when(m == 0, "flip_quality").when(m == 1, "flip_toxic").otherwise("shift").alias("category"),
         F.when(m == 0, F.col("quality") + 2).otherwise(F.col("quality")).alias("q"), F.when(m == 1, 1 - F.col("toxic")).otherwise(F.col("toxic")).alias("x"))
     rules = [Rule("invalid_value", "error", "label", ~F.col("q").isin(0, 1)), Rule("sensitive", "warning", "label", F.col("x") == 1)]
     codes = issues(bad, rules, "case_id").groupBy("case_id").agg(F.collect_set("type").alias("codes"))

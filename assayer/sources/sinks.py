@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assayer.operators.splits import numbered
+
 
 def write_json(document: object, path: str) -> None:
     """A small document, written beside its place and then renamed."""
@@ -46,12 +48,17 @@ def write_report_csv(df: DataFrame, path: str, most: int = 100_000) -> int:
     return len(rows)
 
 
-def report_markdown(title: str, counts: DataFrame, found: DataFrame, most: int = 20) -> str:
-    """Counts and the first issues in a fixed order."""
+def report_markdown(title: str, counts: DataFrame, found: DataFrame, most: int = 20, most_counts: int = 200) -> str:
+    """Counts and the first issues in a fixed order; what is left out is said."""
     lines = [f"# {title}", "", "| " + " | ".join(counts.columns) + " |", "|" + "---|" * len(counts.columns)]
-    lines += ["| " + " | ".join(str(v) for v in r) + " |" for r in counts.orderBy(*counts.columns).limit(200).collect()]
+    shown = counts.orderBy(*counts.columns).limit(most_counts + 1).collect()
+    lines += ["| " + " | ".join(str(v) for v in r) + " |" for r in shown[:most_counts]]
+    if len(shown) > most_counts:
+        lines += ["", f"The first {most_counts} of {counts.count()} counts."]
     lines += ["", "## Issues", ""]
     lines += [f"- **{r['severity']}** {r['type']} ({r['case_id']}): {r['message']}" for r in found.orderBy(F.desc("severity"), "type", "case_id").limit(most).collect()]
+    n = found.count()
+    lines += ["", f"The first {most} of {n} issues."] if n > most else []
     return "\n".join(lines) + "\n"
 
 
@@ -91,8 +98,7 @@ def coco_tables(boxes: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFra
     """images, annotations and categories of a detection export: ids from 1 in each split, areas, category ids by label order."""
     from pyspark.sql import Window
 
-    by_split = Window.partitionBy("split").orderBy("case_id")
-    img = images.withColumn("image_id", F.row_number().over(by_split))
+    img = numbered(images, "split", ["case_id"], "image_id")
     labels = boxes.select("label").distinct()
     numeric = F.col("label").try_cast("int")
     top = labels.agg(F.coalesce(F.max(numeric), F.lit(0)).alias("top"))
@@ -100,8 +106,8 @@ def coco_tables(boxes: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFra
     categories = labels.where(numeric.isNotNull()).select("label", numeric.alias("category_id")).union(text.select("label", (F.col("top") + F.col("n")).cast("int")))
     b = F.col("bbox_xyxy")
     joined = boxes.join(img.select("case_id", "split", "image_id"), "case_id").join(categories, "label")
-    nth = F.row_number().over(Window.partitionBy("split").orderBy("image_id", "category_id", "bbox_xyxy"))
-    annotations = joined.select("split", nth.alias("annotation_id"), "image_id", "category_id", F.array(b[0], b[1], b[2] - b[0], b[3] - b[1]).alias("bbox"), ((b[2] - b[0]) * (b[3] - b[1])).alias("area"))
+    annotations = joined.select("split", "image_id", "category_id", F.array(b[0], b[1], b[2] - b[0], b[3] - b[1]).alias("bbox"), ((b[2] - b[0]) * (b[3] - b[1])).alias("area"))
+    annotations = numbered(annotations, "split", ["image_id", "category_id", "bbox"], "annotation_id")
     return img, annotations, categories
 
 
@@ -117,3 +123,34 @@ def verified(bindings: DataFrame, files: DataFrame) -> DataFrame:
     """Bindings whose file is missing or has other bytes: an empty result permits the delivery."""
     actual = files.select("path", F.sha2("content", 256).alias("actual"))
     return bindings.join(actual, "path", "left").where(~F.col("sha256").eqNullSafe(F.col("actual")))
+
+
+def yolo_files(boxes: DataFrame, images: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """A detection export as a table of files for ``exports.export``, and its audit by split.
+
+    ``images`` (split, case_id, path, width, height), ``boxes`` (split, case_id, class_id, bbox_xyxy; classes from 0). Every image gets a text of its
+    boxes, one a line by class and place, clipped to the image; boxes without an area inside it are left out and counted, as are boxes of no image.
+    """
+    key = ["split", "case_id"]
+    x1, y1, x2, y2 = (F.col("bbox_xyxy")[i] for i in range(4))
+    cut = lambda v, most: F.least(F.greatest(v, F.lit(0.0)), F.col(most).cast("double"))
+    box = F.array(cut(x1, "width"), cut(y1, "height"), cut(x2, "width"), cut(y2, "height"))
+    met = boxes.join(images.select(*key, "width", "height"), key, "left").withColumn("box_", box)
+    ok = F.coalesce(F.col("width").isNotNull() & (F.col("box_")[2] > F.col("box_")[0]) & (F.col("box_")[3] > F.col("box_")[1]) & (F.size("bbox_xyxy") == 4), F.lit(False))
+    lines = met.where(ok).select(*key, yolo_line(F.col("class_id").cast("int"), F.col("box_"), F.col("width"), F.col("height")).alias("line"))
+    text = lines.groupBy(*key).agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("text"))  # an image's boxes
+    end = F.regexp_extract("path", r"(\.[^./]+)$", 1)
+    about = lambda kind: F.to_json(F.struct("split", "case_id", F.lit(kind).alias("kind")))
+    copies = images.select(F.concat(F.lit("images/"), "split", F.lit("/"), "case_id", end).alias("target"), F.col("path").alias("source"), F.lit(None).cast("binary").alias("content"), about("image").alias("about"))
+    labels = images.join(text, key, "left").select(
+        F.concat(F.lit("labels/"), "split", F.lit("/"), "case_id", F.lit(".txt")).alias("target"), F.lit(None).cast("string").alias("source"), F.coalesce("text", F.lit("")).cast("binary").alias("content"), about("label").alias("about")
+    )
+    counts = images.groupBy("split").agg(F.count(F.lit(1)).alias("images"))
+    audit = met.groupBy("split").agg(F.count_if(ok).alias("boxes"), F.count_if(~ok & F.col("width").isNotNull()).alias("without_area"), F.count_if(F.col("width").isNull()).alias("without_image"))
+    return copies.unionByName(labels), counts.join(audit, "split", "full_outer").na.fill(0)
+
+
+def yolo_description(names: list[str], splits: Iterable[str]) -> str:
+    """The ``data.yaml`` of a detection export; names are few and quoted as JSON, which YAML reads."""
+    parts = "".join(f"{s}: images/{s}\n" for s in splits)
+    return f"path: .\n{parts}nc: {len(names)}\nnames: {json.dumps(names, ensure_ascii=False)}\n"
