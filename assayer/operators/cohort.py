@@ -23,10 +23,10 @@ def _settled(targets: DataFrame) -> DataFrame:
 
 
 def _narrowed(rows: DataFrame, targets: DataFrame, keys: list[str], bucket: Column) -> DataFrame:
-    """Each range of values replaced by those of its buckets that hold a wanted rank."""
+    """Each range of values replaced by those of its buckets that hold a wanted rank; the ranges go to the rows, as a shuffle by group would give a large group to one task."""
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"t{i}_")) for i, k in enumerate(keys)], F.lit(True))
     state = targets.select(*[F.col(k).alias(f"t{i}_") for i, k in enumerate(keys)], "n", "lo", "hi", "below", "ranks")
-    inside = rows.join(state, same & F.col("v_").between(F.col("lo"), F.col("hi")))
+    inside = rows.join(F.broadcast(state), same & F.col("v_").between(F.col("lo"), F.col("hi")))
     sizes = inside.groupBy(*keys, "n", "lo", "hi", "below", "ranks", bucket.alias("b_")).agg(F.sum("c_").alias("m"), F.min("v_").alias("least"), F.max("v_").alias("most"))
     ahead = F.sum("m").over(Window.partitionBy(*keys, "lo", "hi").orderBy("b_").rowsBetween(Window.unboundedPreceding, -1))
     sizes = sizes.withColumn("below", F.col("below") + F.coalesce(ahead, F.lit(0)))
@@ -37,18 +37,19 @@ def _narrowed(rows: DataFrame, targets: DataFrame, keys: list[str], bucket: Colu
 def exact_quantiles(df: DataFrame, value: Column, by: list[str], shares: Sequence[float], sorted_values: int = SORTED_VALUES) -> DataFrame:
     """(by, n, q): exact quantiles with linear interpolation, one row a group; null and NaN are no values.
 
-    No task holds a group of more than ``sorted_values`` values: where there are such, rounds count values in ``WIDTH`` equal parts of a range and go on with the
-    parts that hold a wanted rank, until a part has at most ``sorted_values`` values, which are sorted.
+    No task holds a group of more than ``sorted_values`` values: for these, which are few, rounds count values in ``WIDTH`` equal parts of a range and go on with the
+    parts that hold a wanted rank, until a part has at most ``sorted_values`` values, which are sorted. The other groups take one aggregate.
     Groups of null keys stay; infinities are values; an empty table has no rows.
     """
     rows = df.select(*by, value.cast("double").alias("v_")).where("v_ is not null and not isnan(v_)").withColumn("c_", F.lit(1).cast("long"))
     at = [(F.col("n") - 1) * F.lit(float(p)) for p in shares]
     ranks = F.array_sort(F.array_distinct(F.array(*[f(x).cast("long") for x in at for f in (F.floor, F.ceil)])))
     targets = rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.min("v_").alias("lo"), F.max("v_").alias("hi"))
-    largest = targets.agg(F.max("n")).first()[0] or 0
-    if largest <= sorted_values:  # every group fits into a task: one aggregate
-        return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile("v_", F.array(*[F.lit(float(p)) for p in shares])).alias("q"))
-    targets = _settled(targets.select(*by, "n", "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("m"), ranks.alias("ranks")))
+    smallest, largest = targets.agg(F.min("n"), F.max("n")).first()
+    whole = lambda df: df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.percentile("v_", F.array(*[F.lit(float(p)) for p in shares])).alias("q"))
+    if (largest or 0) <= sorted_values:  # every group fits into a task: one aggregate
+        return whole(rows)
+    targets = _settled(targets.where(F.col("n") > sorted_values).select(*by, "n", "lo", "hi", F.lit(0).cast("long").alias("below"), F.col("n").alias("m"), ranks.alias("ranks")))
     part = F.floor((F.col("v_") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * WIDTH)
     part = F.when(F.col("v_") == F.col("lo"), -1).when(F.col("v_") == F.col("hi"), WIDTH).otherwise(part)
     while not targets.where((F.col("lo") < F.col("hi")) & (F.col("m") > sorted_values)).isEmpty():
@@ -61,7 +62,11 @@ def exact_quantiles(df: DataFrame, value: Column, by: list[str], shares: Sequenc
         low, high = F.floor(x).cast("long"), F.ceil(x).cast("long")
         return F.when(low == high, F.col("at_")[low]).otherwise((high - x) * F.col("at_")[low] + (x - low) * F.col("at_")[high])
 
-    return held.select(*by, "n", F.array(*[between(x) for x in at]).alias("q"))
+    out = held.select(*by, "n", F.array(*[between(x) for x in at]).alias("q"))
+    if smallest > sorted_values:
+        return out
+    large = F.broadcast(targets.select(*[F.col(k).alias(f"t{i}_") for i, k in enumerate(by)]).distinct())
+    return out.union(whole(rows.join(large, reduce(and_, [F.col(k).eqNullSafe(F.col(f"t{i}_")) for i, k in enumerate(by)]), "left_anti")))
 
 
 def robust_bounds(df: DataFrame, value: Column, by: list[str], least: int = 5) -> DataFrame:

@@ -212,3 +212,11 @@ def test_keywords_have_ascii_edges_as_in_sql(spark):
     got = {tuple(r) for r in QUERIES["intent_keywords"](Tables, "").select("role", "intent", "n").collect()}
     assert got == set(duck.execute(ORACLE_SQL["intent_keywords"]).fetchall())
     assert [fn.ascii_edges(p) for p in (r"\\b", r"\d")] == [r"\\b", r"\d"]
+
+
+def test_quantile_rounds_shuffle_no_group(spark):
+    df = spark.range(5000).select((F.col("id") % 2).alias("g"), F.col("id").cast("double").alias("v")).union(spark.createDataFrame([(7, 1.0), (None, 2.0)], "g long, v double"))
+    q = cohort.exact_quantiles(df, F.col("v"), ["g"], (0.0, 0.5, 1.0), sorted_values=100)
+    assert "SortMergeJoin" not in q._jdf.queryExecution().toString()
+    assert {r["g"]: (r["n"], r["q"]) for r in q.collect()} == {0: (2500, [0.0, 2499.0, 4998.0]), 1: (2500, [1.0, 2500.0, 4999.0]), 7: (1, [1.0] * 3), None: (1, [2.0] * 3)}
+    assert cohort.exact_quantiles(df, F.col("v"), [], (0.0,), sorted_values=100).collect()[0]["q"] == [0.0]
