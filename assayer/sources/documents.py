@@ -5,8 +5,10 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,13 +65,35 @@ def box_annotations(documents: DataFrame, text: str = "text", polygons: bool = F
 
 
 def coco_annotations(documents: DataFrame, text: str = "text", key: str | None = None) -> DataFrame:
-    """Corner boxes of COCO documents, told apart by ``key`` or else by content; a category without a name is called by its id, a missing box is zeros."""
-    d = documents if key else documents.select(text).distinct()
-    d = d.select((F.col(key) if key else F.sha2(F.col(text).cast("binary"), 256)).alias("doc"), F.from_json(text, COCO).alias("c"))
-    a = d.select("doc", F.inline("c.annotations")).withColumnRenamed("id", "annotation_id")
-    i = d.select("doc", F.inline("c.images")).withColumnRenamed("id", "image_id")
-    k = d.select("doc", F.inline("c.categories")).withColumnRenamed("id", "category_id")
-    j = a.join(i, ["doc", "image_id"]).join(k, ["doc", "category_id"], "left")
+    """Corner boxes of COCO documents; a category without a name is called by its id, a missing box is zeros.
+
+    A row is a document with all its images and categories, so annotations meet theirs where the document is read, by hash joins of Arrow batches.
+    Equal texts count once, unless a ``key`` tells them apart.
+    """
+
+    def entries(lists: pa.Array, *fields: str) -> tuple[pa.Array, ...]:
+        of = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        items = lists.flatten()
+        return pa.array(of, pa.int64()), pa.array(np.arange(len(items)), pa.int64()), *(pc.struct_field(items, f) for f in fields)
+
+    def met(batch: pa.RecordBatch) -> pa.RecordBatch:
+        doc, nth, image, category, box = entries(batch.column(0), "image_id", "category_id", "bbox")
+        i_doc, i_nth, i_id, files = entries(batch.column(1), "id", "file_name")
+        k_doc, k_nth, k_id, names = entries(batch.column(2), "id", "name")
+        j = pa.table([doc, nth, image, category], names=["doc", "nth", "image", "category"])
+        j = j.join(pa.table([i_doc, i_id, i_nth], names=["doc", "image", "i"]), ["doc", "image"], join_type="inner", use_threads=False)
+        j = j.join(pa.table([k_doc, k_id, k_nth], names=["doc", "category", "k"]), ["doc", "category"], join_type="left outer", use_threads=False)
+        j = {c: j[c].combine_chunks() for c in ("i", "k", "category", "nth")}
+        return pa.RecordBatch.from_arrays([files.take(j["i"]), names.take(j["k"]), j["category"], box.take(j["nth"])], names=["file_name", "name", "category_id", "bbox"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 4096):
+                yield met(batch.slice(at, 4096))
+
+    d = documents.select(text) if key else documents.select(text).distinct()
+    c = d.select(F.from_json(text, COCO).alias("c")).select("c.annotations", "c.images", "c.categories")
+    j = c.mapInArrow(run, "file_name string, name string, category_id long, bbox array<double>")
     b = F.coalesce("bbox", F.array(*[F.lit(0.0)] * 4))
     box = F.array(b[0], b[1], b[0] + b[2], b[1] + b[3])
     return j.select(F.regexp_replace("file_name", r"\.[^.]*$", "").alias("case_id"), F.coalesce("name", F.col("category_id").cast("string")).alias("label"), box.alias("bbox_xyxy"))

@@ -53,6 +53,24 @@ def test_documents(spark, tmp_path):
         documents.read_jsonl(spark, str(tmp_path / "e.jsonl"), "a int").collect()
 
 
+def test_coco_documents_are_read_once_and_joined_in_place(spark):
+    coco = {
+        "images": [{"id": 1, "file_name": "a.png"}, {"id": 1, "file_name": "aa.x.png"}, {"id": None, "file_name": "n.png"}, {"id": 2}],
+        "annotations": [{"id": 1, "image_id": 1, "category_id": 7, "bbox": [1, 1, 2, 3]}, None, {"id": 2, "image_id": 9, "category_id": 7}, {"id": 3, "category_id": 7}, {"id": 4, "image_id": 2, "category_id": 8, "bbox": [1]}, {"id": 5, "image_id": 1}],
+        "categories": [{"id": 7, "name": "x"}, {"id": 7, "name": "y"}, {"id": 8, "name": None}, None, {"name": "none"}],
+    }
+    other = json.dumps({"images": [{"id": 1, "file_name": "b.png"}], "annotations": [{"id": 1, "image_id": 1, "category_id": 7, "bbox": [0, 0, 1, 1]}]})
+    df = spark.createDataFrame([(1, json.dumps(coco)), (2, other), (3, "nope"), (4, None), (5, '{"images": []}'), (6, other)], "k long, text string")
+    zeros = [0.0] * 4
+    want = [("a", None, zeros), ("a", "x", [1.0, 1.0, 3.0, 4.0]), ("a", "y", [1.0, 1.0, 3.0, 4.0]), ("aa.x", None, zeros), ("aa.x", "x", [1.0, 1.0, 3.0, 4.0]), ("aa.x", "y", [1.0, 1.0, 3.0, 4.0]), ("b", "7", [0.0, 0.0, 1.0, 1.0])]
+    for key, copies in (("k", 2), (None, 1)):
+        found = documents.coco_annotations(df, key=key)
+        plan = found._jdf.queryExecution().toString()
+        assert "Join" not in plan and plan.count("MapInArrow") > 0
+        got = sorted(((r["case_id"], r["label"], r["bbox_xyxy"]) for r in found.where("case_id is not null").collect()), key=str)
+        assert got == sorted(want + [want[-1]] * (copies - 1), key=str)
+
+
 def test_kernels():
     mask = np.zeros((6, 6), np.uint8)
     mask[0:2, 0:2], mask[4, 4] = 1, 1
