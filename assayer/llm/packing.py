@@ -68,9 +68,9 @@ class Quotas:
         self.full = self.all // length
         wide = self.all * (self.all + length) < 1 << 62
         self.weights = np.array(totals, np.int64 if wide else object)
-        self._chunks: dict[int, np.ndarray] = {}
+        self._chunks: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def _chunk(self, c: int) -> np.ndarray:
+    def _chunk(self, c: int) -> tuple[np.ndarray, np.ndarray]:
         if c not in self._chunks:
             if len(self._chunks) > 64:
                 self._chunks.clear()
@@ -80,30 +80,31 @@ class Quotas:
             deficit = grant % self.all
             short = (w * self.length).astype(np.int64) - given.sum(axis=1)
             place = np.argsort(np.argsort(-deficit, axis=1, kind="stable"), axis=1, kind="stable")
-            self._chunks[c] = given + (place < short[:, None])
+            given = given + (place < short[:, None])
+            self._chunks[c] = given, np.cumsum(given, axis=1) - given
         return self._chunks[c]
 
-    def after(self, first: int, last: int) -> np.ndarray:
-        """Rows for ``first`` <= w <= ``last``."""
+    def after(self, first: int, last: int) -> tuple[np.ndarray, np.ndarray]:
+        """Rows for ``first`` <= w <= ``last``: what each queue has given, and what the queues before it have."""
         a, b = first // self.CHUNK, last // self.CHUNK
-        rows = np.concatenate([self._chunk(c) for c in range(a, b + 1)])
-        return rows[first - a * self.CHUNK : last - a * self.CHUNK + 1]
+        parts = [self._chunk(c) for c in range(a, b + 1)]
+        inside = slice(first - a * self.CHUNK, last - a * self.CHUNK + 1)
+        return tuple(x[0][inside] if a == b else np.concatenate(x)[inside] for x in zip(*parts, strict=True))
 
     def cut(self, queue: int, start: int, stop: int) -> list[tuple[int, int, int, int]]:
         """(from, to, sequence, offset) of the pieces of positions [start, stop) of a queue."""
         out, total = [], self.totals[queue]
         first = min(max(0, start * self.all // (total * self.length) - 2), self.full)
         last = min(stop * self.all // (total * self.length) + 2, self.full)
-        given = self.after(first, last)
+        given, others = self.after(first, last)
         edges = given[:, queue]
         if last > first:
             i = max(0, int(np.searchsorted(edges, start, side="right")) - 1)
-            j = int(np.searchsorted(edges, stop, side="left"))
-            for k in range(i, min(j, len(edges) - 1)):
-                a, b = max(start, int(edges[k])), min(stop, int(edges[k + 1]))
-                if a < b:
-                    ahead = int((given[k + 1, :queue] - given[k, :queue]).sum())
-                    out.append((a, b, first + k, ahead + a - int(edges[k])))
+            j = min(int(np.searchsorted(edges, stop, side="left")), len(edges) - 1)
+            if i < j:
+                begun, ahead = edges[i:j], np.diff(others[i : j + 1, queue])
+                lo, hi = np.maximum(begun, start), np.minimum(edges[i + 1 : j + 1], stop)
+                out = [p for p in zip(lo.tolist(), hi.tolist(), range(first + i, first + j), (ahead + lo - begun).tolist(), strict=True) if p[0] < p[1]]
         if last == self.full and stop > edges[-1]:
             done = given[-1]
             base = sum(t - int(g) for t, g in zip(self.totals[:queue], done[:queue], strict=True)) - int(edges[-1])
@@ -153,11 +154,15 @@ def pack(docs: DataFrame, tokenizer: str, length: int = 2048, *, key: str = "doc
                 part = batch.slice(a, 512)
                 who, at, cols = [], [], [[] for _ in range(6)]
                 for i, (n, q, p, ids) in enumerate(zip(*(part.column(c).to_pylist() for c in (1, 2, 3, 4)), strict=True)):
-                    wide = np.frombuffer(ids, dtype).astype("<u4")
-                    for lo, hi, sequence, offset in quotas.cut(q, p, p + n):
-                        who.append(i)
-                        for c, v in zip(cols, (lo - p, hi - lo, zlib.crc32(wide[lo - p : hi - p].tobytes()), n, sequence, offset), strict=True):
-                            c.append(v)
+                    wide = memoryview(np.frombuffer(ids, dtype).astype("<u4").tobytes())
+                    pieces = quotas.cut(q, p, p + n)
+                    who += [i] * len(pieces)
+                    cols[0] += [lo - p for lo, _, _, _ in pieces]
+                    cols[1] += [hi - lo for lo, hi, _, _ in pieces]
+                    cols[2] += [zlib.crc32(wide[4 * (lo - p) : 4 * (hi - p)]) for lo, hi, _, _ in pieces]
+                    cols[3] += [n] * len(pieces)
+                    cols[4] += [sequence for _, _, sequence, _ in pieces]
+                    cols[5] += [offset for _, _, _, offset in pieces]
                 take = pa.array(who, pa.int64())
                 arrays = [part.column(0).take(take), *(pa.array(c, pa.int64()) for c in cols), part.column(5).take(take)]
                 yield pa.RecordBatch.from_arrays(arrays, names=names_out)

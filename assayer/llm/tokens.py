@@ -68,11 +68,12 @@ class WordCoder:
         return self._pack([t.id for t in self.model.tokenize(mapped)])
 
     def _chunk(self, chunk: str) -> bytes:
-        if chunk.isascii():
-            if chunk.isalpha():
-                return self._pack([t.id for t in self.model.tokenize(chunk.lower())])
-            if chunk[:-1].isalpha() and chunk[-1] in ".,;:!?":
-                return self.chunks[chunk[:-1]] + self.words[chunk[-1]]
+        if chunk.isalpha():
+            if chunk.isascii() or _PLAIN.fullmatch(chunk):  # one word of composed letters
+                low = chunk.lower()
+                return self._word(low) if low == chunk else self.chunks[low]
+        elif chunk[-1] in ".,;:!?" and chunk[:-1].isalpha() and (chunk.isascii() or _PLAIN.fullmatch(chunk)):
+            return self.chunks[chunk[:-1]] + self.words[chunk[-1]]
         if not _PLAIN.fullmatch(chunk) or "<|" in chunk or "­" in chunk or "\x7f" in chunk:
             return self._pack(self.full.encode(chunk, add_special_tokens=False).ids)
         low = unicodedata.normalize("NFC", chunk).lower()

@@ -116,3 +116,17 @@ def test_token_ids(text):
     c = WordCoder.load(TOKENIZER)
     for t in (text, *text.split(" ")):
         assert np.frombuffer(c.encode(t), c.dtype).tolist() == c.full.encode(t, add_special_tokens=False).ids
+
+
+def test_words_of_letters_are_encoded_once():
+    c = WordCoder(TOKENIZER)
+    for text in ("été Été, ÉTÉ! été.", "ñesíque ñesíque; Ñesíque", "Word word, word:", "ªº µ ß, ŉx ǅ, ȡ.", "x\u00ad, e\u0301té, İx, a.b, ,x ,, <|x|>"):
+        assert np.frombuffer(c.encode(text), c.dtype).tolist() == c.full.encode(text, add_special_tokens=False).ids, text
+    assert {"été", "ñesíque", "word"} <= set(c.chunks)  # the other forms refer to these
+
+
+def test_windows_of_a_queue_are_no_copies():
+    q = Quotas([5000, 7000, 11000], 64)
+    given, others = q.after(3, 9)
+    assert np.shares_memory(given, q.after(0, 5)[0]) and given.sum(axis=1).tolist() == [64 * w for w in range(3, 10)]
+    assert others[:, 0].tolist() == [0] * 7 and others[:, 2].tolist() == (given[:, 0] + given[:, 1]).tolist()
