@@ -52,6 +52,8 @@ WIDTH = 5
 HASHES, BAND = 8, 2
 #: Members of a list that its unsettled members are compared with before all are.
 PIVOTS = 16
+#: Members of a list that one task takes at most, of those that its active members are joined with.
+LIST_MEMBERS = 2000
 #: Text bytes for each owner partition, segment bytes for each bucket, band windows of a bucket of lists and shingles of a chunk.
 OWNER_BYTES, SEGMENT_BUCKET_BYTES, LIST_ROWS, CHUNK = 8 << 20, 64 << 20, 400_000, 1_000_000
 SEEDS = mix(np.arange(1, HASHES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -444,6 +446,38 @@ def _untried(pairs: DataFrame, tried: list[DataFrame]) -> DataFrame:
     return ordered(pairs).join(done, ["lo", "hi"], "left_anti").select("psid", "sid")
 
 
+_OTHER = ("sid", "node", "s", "label", "done")
+
+
+def _pivot_pairs(left: DataFrame) -> DataFrame:
+    """(psid, sid): entries that are not settled, or in another component, with ``PIVOTS`` members of their list."""
+    other = left.select("k", *[F.col(c).alias(f"p{c}") for c in _OTHER])
+    nth = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("pnode"), "psid", "ps"))
+    other = other.withColumn("nth_", nth).where(F.col("nth_") <= PIVOTS)  # Spark keeps so many a task before the shuffle
+    near = (F.col("label") != F.col("plabel")) | ~F.col("done")
+    return left.join(other, "k").where(near & (F.col("node") != F.col("pnode"))).select("psid", "sid").distinct()
+
+
+def _all_pairs(left: DataFrame, most: int = LIST_MEMBERS) -> DataFrame:
+    """(psid, sid): all pairs of a list of which a member is not settled, or which are of two components.
+
+    Each such pair has a member that is not settled or outside the list's largest component: only these, the active ones, are joined with their lists.
+    A list of more than ``most`` members is dealt: its active members to as many tasks as it has ``most`` members, its members to all of these.
+    """
+    segments = left.groupBy("k", "sid", "node", "label").agg(F.min("done").alias("done"))  # a segment's windows in a list make the same pairs
+    largest = segments.groupBy("k", "label").agg(F.count(F.lit(1)).alias("n")).groupBy("k").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.ceil(F.sum("n") / most).cast("int").alias("deals"))
+    every = segments.join(largest, "k").withColumn("active", ~F.col("done") | (F.col("label") != F.col("main")))
+    deal = F.pmod(F.xxhash64("sid"), F.col("deals")).cast("int")
+    one = every.where("active").select("k", deal.alias("deal"), "sid", "node", "label", "done")
+    two = every.select("k", F.explode(F.sequence(F.lit(0), F.col("deals") - 1)).alias("deal"), *[F.col(c).alias(f"p{c}") for c in ("sid", "node", "label", "done", "active")])
+    # few bytes make many pairs, so tasks are not joined by their bytes
+    tasks = 4 * int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    near = (F.col("label") != F.col("plabel")) | ~F.col("done") | ~F.col("pdone")
+    met = one.repartition(tasks, "k", "deal").join(two.repartition(tasks, "k", "deal"), ["k", "deal"])
+    pairs = met.where(near & (F.col("node") != F.col("pnode")) & (~F.col("pactive") | (F.col("sid") < F.col("psid"))))
+    return pairs.select(F.greatest("sid", "psid").alias("psid"), F.least("sid", "psid").alias("sid")).distinct()
+
+
 def _passages(segments: DataFrame, length: int, windows_: int) -> tuple[list[DataFrame], DataFrame]:
     """Verified pairs of segments, and the components (node, label) that they make."""
     spark = segments.sparkSession
@@ -471,15 +505,8 @@ def _passages(segments: DataFrame, length: int, windows_: int) -> tuple[list[Dat
         left = materialise(_labelled(_settled(entries_left, reduce(DataFrame.union, found), length), labels), "passage-lists")
         discard(entries_left)
         entries_left = left
-        other = left.select("k", F.col("sid").alias("psid"), F.col("node").alias("pnode"), F.col("s").alias("ps"), F.col("label").alias("plabel"), F.col("done").alias("pdone"))
-        if not last:
-            nth = F.row_number().over(Window.partitionBy("k").orderBy(F.xxhash64("pnode"), "psid", "ps"))
-            other = other.withColumn("nth_", nth).where(F.col("nth_") <= PIVOTS)  # Spark keeps so many a task before the shuffle
-        near = (F.col("label") != F.col("plabel")) | ~F.col("done") | (F.lit(last) & ~F.col("pdone"))
-        pairs = left.join(other, "k").where(near & (F.col("node") != F.col("pnode")))
-        if last:
-            pairs = pairs.where("sid < psid")
-        tried.append(materialise(_untried(pairs.select("psid", "sid").distinct(), tried), "passage-pairs"))
+        pairs = _all_pairs(left) if last else _pivot_pairs(left)
+        tried.append(materialise(_untried(pairs, tried), "passage-pairs"))
         found.append(_verify(tried[-1], segments, length))
         spark_gc(spark)
         labels = _merged(labels, found[-1])

@@ -407,3 +407,17 @@ def test_near_repeats_are_found(spark):
 
 def test_passages_of_an_empty_table(spark, empty):
     assert passages.repeated_passages(empty).count() == 0
+
+
+def test_all_pairs_of_lists_join_only_active_members(spark):
+    from assayer.llm.passages import _all_pairs
+
+    rng = np.random.default_rng(5)
+    rows = {(int(k), int(sid), int(sid) // 2, int(s), int(sid) // 2 % 3 if rng.random() < 0.5 else 0) for k, sid, s in zip(rng.integers(0, 5, 400), rng.integers(0, 60, 400), rng.integers(0, 3, 400), strict=True)}
+    label = {node: lab for _, _, node, _, lab in rows}
+    rows = [(k, sid, node, s, label[node], bool(rng.random() < 0.8)) for k, sid, node, s, _ in sorted(rows)]
+    want = {(max(a[1], b[1]), min(a[1], b[1])) for a in rows for b in rows if a[0] == b[0] and a[2] != b[2] and (a[4] != b[4] or not a[5] or not b[5])}
+    df = spark.createDataFrame(rows, "k long, sid long, node long, s long, label long, done boolean")
+    for most in (7, 2000):
+        got = [(r["psid"], r["sid"]) for r in _all_pairs(df, most).collect()]
+        assert set(got) == want and len(got) == len(want)
