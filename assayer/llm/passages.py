@@ -2,9 +2,9 @@
 
 A text is a sequence of 5-word shingles; equal sequences form one class, of which one copy is kept
 in blocks, in a table bucketed by block. Blocks send their distinct shingles to owner partitions and
-get back which of them other classes have too. A window of ``length`` shingles can only be repeated
-if six in seven of its shingles are in other classes; the unions of such windows are the segments,
-and only they go on.
+get back about how many classes have each. A window of ``length`` shingles can only be repeated if
+six in seven of its shingles are in other classes; the unions of such windows are the segments, and
+only they go on.
 
 Under each of ``HASHES`` hash functions, the nodes of the Cartesian tree over a segment's hashes
 that span at least ``length`` shingles are its compact windows: (l, c, r) stands for all sequences
@@ -17,11 +17,13 @@ equal minima form lists.
 
 Every list compares its members' segments with a pivot: within a chunk of segments first, and then
 the chunks' pivots with each other, so a very common list costs one task no more than a row a chunk.
-What is not settled then (windows without a verified repeat, members of different components) is
-compared with ``PIVOTS`` other members of its lists, and what that leaves with all members, pair by
-pair, so no candidate is left out. A passage
-is a run of windows of ``length`` shingles of which six in seven occur in one region of the other
-segment, in both segments (Jaccard similarity 0.75 for windows of one length).
+Lists that are not settled then (windows without a verified repeat, members of different components)
+are divided by rare shingles: a window goes to the lists of its rarest shingles, one more than it may
+lack. Two windows that have six in seven shingles in each other meet in one of these lists; windows
+that share no more than a common line meet seldom. Members are compared with ``PIVOTS`` others of
+their lists, and what that leaves with all members, pair by pair, so no such pair is left out. A
+passage is a run of windows of ``length`` shingles of which six in seven occur in one region of the
+other segment, in both segments (Jaccard similarity 0.75 for windows of one length).
 
 Null, empty and short texts hold no passage and give no row; repeated rows are copies of each
 other, whose whole text is a passage; rows without a key take part, and a class without any key
@@ -161,7 +163,9 @@ class _Stored:
         first = np.flatnonzero(np.append(True, entry[1:] != entry[:-1])) if len(entry) else np.zeros(0, np.int64)
         self.entries = entry[first]
         last = np.append(first[1:], len(entry)) - 1
-        self.several = doc[order[first]] != doc[order[last]] if len(entry) else np.zeros(0, bool)
+        doc = doc[order]  # ascending within an entry
+        again = np.append(False, (doc[1:] == doc[:-1]) & (entry[1:] == entry[:-1])) if len(entry) else np.zeros(0, bool)
+        self.classes = np.minimum(np.add.reduceat(~again, first, dtype=np.int64), 65535).astype("<u2") if len(entry) else np.zeros(0, "<u2")
         self.at = np.empty(len(entry), np.int64)
         self.at[order] = np.repeat(np.arange(len(first)), last - first + 1)
         self.edges = np.searchsorted(self.entries, np.arange(owners + 1, dtype=np.uint64) << np.uint64(40))
@@ -186,36 +190,37 @@ def _send_shingles(owners: int):
             for p in np.flatnonzero(np.diff(t.edges)).tolist():
                 a, b = t.edges[p], t.edges[p + 1]
                 block.append(row["block"]), part.append(p)
-                blob.append(_pack(np.diff(t.entries[a:b] & REST, prepend=np.uint64(0)), np.packbits(t.several[a:b])))
+                blob.append(_pack(np.diff(t.entries[a:b] & REST, prepend=np.uint64(0)), t.classes[a:b]))
         return _sent(block, part, blob)
 
     return run
 
 
 def _flag_shared(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    """Answers every block, in its order, which shingles two or more classes have."""
+    """Answers every block, in its order: 0 for shingles that one class has, for others a step of the number of classes that have them."""
     sent = [_unpack(b) for b in table.column("blob").to_pylist()]
     rest = [np.cumsum(d, dtype=np.uint64) for d, _ in sent]
-    several = np.concatenate([np.unpackbits(f, count=len(d)).astype(bool) for d, f in sent])
     every, at = np.unique(np.concatenate(rest), return_inverse=True)
-    shared = (np.bincount(at, minlength=len(every)) > 1) | (np.bincount(at, weights=several, minlength=len(every)) > 0)
+    times = np.bincount(at, weights=np.concatenate([c for _, c in sent]), minlength=len(every))
+    steps = np.minimum(8 * np.log2(np.maximum(times, 1)), 255).astype(np.uint8)
     edges = np.cumsum([len(r) for r in rest])[:-1]
-    return _sent(table.column("block").to_pylist(), [key[0].as_py()] * len(sent), [np.packbits(f).tobytes() for f in np.split(shared[at], edges)])
+    return _sent(table.column("block").to_pylist(), [key[0].as_py()] * len(sent), [zlib.compress(f.tobytes(), 1) for f in np.split(steps[at], edges)])
 
 
 def _find_segments(owners: int, length: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        names, rows = ("sid", "node", "start", "good", "hashes"), []
+        names, rows = ("sid", "node", "start", "good", "hashes", "steps"), []
         for row in left.to_pylist():
             t = _Stored(row, _owned(right), owners)
-            flags = np.zeros(len(t.entries), np.int64)
+            flags = np.zeros(len(t.entries), np.uint8)
             for p, blob in zip(right.column("part").to_pylist(), right.column("blob").to_pylist(), strict=True):
                 if blob is not None:
                     a, b = t.edges[p], t.edges[p + 1]
-                    flags[a:b] = np.unpackbits(np.frombuffer(blob, np.uint8), count=b - a)
+                    flags[a:b] = np.frombuffer(zlib.decompress(blob), np.uint8)
             flags, base = flags[t.at], 0
             for node, s in zip(t.nodes.tolist(), t.sequences, strict=True):
-                total = np.append(0, np.cumsum(flags[base : base + len(s)]))
+                steps = flags[base : base + len(s)]
+                total = np.append(0, np.cumsum(steps > 0))
                 base += len(s)
                 good = total[length:] - total[:-length] >= needed(length)
                 if not good.any():
@@ -224,8 +229,8 @@ def _find_segments(owners: int, length: int):
                 new = np.flatnonzero(np.append(True, np.diff(at) > length))
                 for a, b in zip(at[new].tolist(), at[np.append(new[1:], len(at)) - 1].tolist(), strict=True):
                     sid = mix(np.array([node], np.int64).astype(np.uint64) ^ mix(np.array([a + 1], np.uint64)))
-                    rows.append((int(sid.astype(np.int64)[0]), node, a, np.packbits(good[a : b + 1]).tobytes(), s[a : b + length].tobytes()))
-        cols = zip(*rows, strict=True) if rows else [[]] * 5
+                    rows.append((int(sid.astype(np.int64)[0]), node, a, np.packbits(good[a : b + 1]).tobytes(), s[a : b + length].tobytes(), steps[a : b + length].tobytes()))
+        cols = zip(*rows, strict=True) if rows else [[]] * 6
         return pa.table([pa.array(c, pa.int64() if i < 3 else pa.binary()) for i, c in enumerate(cols)], names=names)
 
     return run
@@ -411,20 +416,73 @@ def _islands(rows: DataFrame, by: str, first: str, last: str, gap: int) -> DataF
 
 
 def _settled(entries: DataFrame, found: DataFrame, length: int) -> DataFrame:
-    """``entries`` with ``done``: a window that starts in [s, e] has a verified repeat in any text, or verified passages cover all of [s, e + length) anyway."""
+    """``entries`` with ``done``: a window that starts in [s, e] has a verified repeat in any text, or verified passages cover all words of [s, e + length) anyway."""
     sides = found.select("sid", F.inline("runs")).union(found.select(F.col("psid").alias("sid"), F.inline("runs_p")))
     listed = lambda a, b, gap: _islands(sides.select("sid", a, b), "sid", a, b, gap).groupBy("sid").agg(F.collect_list(F.struct(a, b)).alias(f"{a}s"))  # noqa: E731  at most a range a start
     inside = F.exists("firsts", lambda r: (r["first"] <= F.col("e")) & (F.col("s") <= r["last"]))
     covered = F.exists("starts", lambda r: (r["start"] <= F.col("s")) & (F.col("e") + length <= r["stop"]))
-    met = entries.drop("done").join(listed("first", "last", 1), "sid", "left").join(listed("start", "stop", 0), "sid", "left")
+    met = entries.drop("done").join(listed("first", "last", 1), "sid", "left").join(listed("start", "stop", WIDTH - 1), "sid", "left")
     return met.withColumn("done", F.coalesce(inside, F.lit(False)) | F.coalesce(covered, F.lit(False))).drop("firsts", "starts")
 
 
 def _labelled(entries: DataFrame, labels: DataFrame) -> DataFrame:
     """Entries with their component, of the lists that hold two components or a window which is not settled."""
-    marked = entries.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    open_ = marked.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("done").alias("all_done"))
-    return marked.join(open_.where("lo <> hi or not all_done").select("k"), "k", "left_semi")
+    return _open(entries.drop("label").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+
+
+def _open(marked: DataFrame) -> DataFrame:
+    open_ = marked.groupBy("k").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.min("done").alias("all_done"), F.min("node").alias("one"), F.max("node").alias("two"))
+    return marked.join(open_.where("one <> two and (lo <> hi or not all_done)").select("k"), "k", "left_semi")
+
+
+def rarest(hashes: np.ndarray, steps: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """For each of the windows at ``starts`` the places of its first shingles in the order by (steps, hash), so many that the window cannot lack them all: a row each, -1 for shingles of one class.
+
+    Two windows that each have ``needed(length)`` shingles in the other have one of these in common, the first that both have: less than so many are before it in either.
+    """
+    order = np.lexsort((hashes, steps))
+    place = np.empty(len(hashes), np.int32)
+    place[order] = np.arange(len(hashes), dtype=np.int32)
+    most = length - needed(length)
+    first = order[np.partition(np.lib.stride_tricks.sliding_window_view(place, length)[starts], most, axis=1)[:, : most + 1]]
+    return np.where(steps[first] > 0, first, -1)
+
+
+_MARKED = "k long, sid long, node long, s int, e int, done boolean, label long"
+
+
+def _divided(left: DataFrame, segments: DataFrame, length: int) -> DataFrame:
+    """``left`` with a list for each shingle that is among the ``rarest`` of a member's window. Windows that have six in seven shingles in each other meet in one of these, whatever lists they come from."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cols = []
+            for sid, node, label, start, good, hashes, steps, entries in zip(*(batch.column(c) for c in range(8)), strict=True):
+                h, level = np.frombuffer(hashes.as_buffer(), "<u8"), np.frombuffer(steps.as_buffer(), np.uint8)
+                fit = np.unpackbits(np.frombuffer(good.as_buffer(), np.uint8), count=len(h) - length + 1).astype(bool)
+                s, e, done = (entries.values.field(i).to_numpy(zero_copy_only=False) for i in range(3))
+                a, b = s - start.as_py(), e - start.as_py() + 1
+                change = np.bincount(a, minlength=len(fit) + 1) - np.bincount(b, minlength=len(fit) + 1)
+                at = np.flatnonzero((np.cumsum(change)[:-1] > 0) & fit)
+                first = rarest(h, level, at, length)
+                # the windows of each entry, then their shingles, once each
+                lo, hi = np.searchsorted(at, a), np.searchsorted(at, b)
+                of = np.repeat(np.arange(len(s)), hi - lo)
+                window = np.arange(len(of)) - np.repeat(np.cumsum(hi - lo) - (hi - lo), hi - lo) + lo[of]
+                of, x = np.repeat(of, first.shape[1]), first[window].ravel()
+                key, of = h[x[x >= 0]], of[x >= 0]
+                # of settled windows one row a list is enough
+                order = np.lexsort((np.where(done[of], 0, of), done[of], key))
+                key, of = key[order], of[order]
+                new = np.append(True, (key[1:] != key[:-1]) | (done[of[1:]] != done[of[:-1]]) | (~done[of[1:]] & (of[1:] != of[:-1]))) if len(of) else np.zeros(0, bool)
+                key, of = key[new], of[new]
+                cols.append((key.astype(np.int64), np.full(len(of), sid.as_py()), np.full(len(of), node.as_py()), s[of], e[of], done[of], np.full(len(of), label.as_py())))
+            if cols:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*cols, strict=True)], names=[x.split()[0] for x in _MARKED.split(", ")])
+
+    listed = left.groupBy("sid").agg(F.first("label").alias("label"), F.collect_set(F.struct("s", "e", "done")).alias("entries"))  # at most one a band and window
+    met = segments.select("sid", "node", "start", "good", "hashes", "steps").join(listed, "sid")
+    return met.select("sid", "node", "label", "start", "good", "hashes", "steps", "entries").mapInArrow(run, _MARKED)
 
 
 def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
@@ -504,6 +562,11 @@ def _passages(segments: DataFrame, length: int, windows_: int) -> tuple[list[Dat
     for last in (False, True):
         left = materialise(_labelled(_settled(entries_left, reduce(DataFrame.union, found), length), labels), "passage-lists")
         discard(entries_left)
+        if not last:
+            parts = materialise(_divided(left, segments, length), "passage-parts")
+            discard(left)
+            left = materialise(_open(parts), "passage-lists")
+            discard(parts)
         entries_left = left
         pairs = _all_pairs(left) if last else _pivot_pairs(left)
         tried.append(materialise(_untried(pairs, tried), "passage-pairs"))
@@ -536,7 +599,7 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     asked = stored.groupBy("block").cogroup(owned.groupBy("block")).applyInArrow(_send_shingles(owners), _SENT)
     answers = materialise(asked.groupBy("part").applyInArrow(_flag_shared, _SENT), "passage-flags")
     spark_gc(spark)
-    cut = stored.groupBy("block").cogroup(answers.union(owned).groupBy("block")).applyInArrow(_find_segments(owners, length), "sid long, node long, start long, good binary, hashes binary")
+    cut = stored.groupBy("block").cogroup(answers.union(owned).groupBy("block")).applyInArrow(_find_segments(owners, length), "sid long, node long, start long, good binary, hashes binary, steps binary")
     segments = materialise(cut.repartition(max(parallel, min(50_000, ceil(size / SEGMENT_BUCKET_BYTES))), "sid"), "passage-segments", by="sid", buckets=max(parallel, min(50_000, ceil(size / SEGMENT_BUCKET_BYTES))))
     for df in (blocks, answers, owned):
         discard(df)

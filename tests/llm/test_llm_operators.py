@@ -421,3 +421,52 @@ def test_all_pairs_of_lists_join_only_active_members(spark):
     for most in (7, 2000):
         got = [(r["psid"], r["sid"]) for r in _all_pairs(df, most).collect()]
         assert set(got) == want and len(got) == len(want)
+
+
+def test_rarest_shingles_of_similar_windows_meet():
+    """Two windows with six in seven shingles in each other share one of their rarest, also with repeated shingles; windows of a common line alone do not."""
+    rng, length = np.random.default_rng(4), 46
+    steps = {}
+    for _ in range(300):
+        a = rng.integers(1, 400, length).astype(np.uint64)
+        if rng.random() < 0.3:
+            a[rng.integers(0, length, 12)] = a[0]
+        b = a.copy()
+        b[rng.choice(length, int(rng.integers(0, 9)), replace=False)] = rng.integers(400, 420)
+        b = rng.permutation(b)
+        for x in [*a.tolist(), *b.tolist()]:
+            steps.setdefault(x, int(rng.integers(1, 60)))
+        first = []
+        for h in (a, b):
+            at = passages.rarest(h, np.array([steps[x] for x in h.tolist()], np.uint8), np.array([0]), length)[0]
+            assert len(at) == length - passages.needed(length) + 1
+            first.append(set(h[at].tolist()))
+        if min(np.isin(a, b).sum(), np.isin(b, a).sum()) >= passages.needed(length):
+            assert first[0] & first[1]
+    assert (passages.rarest(a, np.zeros(length, np.uint8), np.array([0]), length) == -1).all()
+
+
+def test_windows_of_a_common_line_make_few_pairs(spark):
+    """A line that many texts share beside rare repeats does not make all pairs of these texts candidates."""
+    r = random.Random(6)
+    w = lambda n: [f"w{r.randint(0, 99999)}" for _ in range(n)]
+    common, rows = w(25), []
+    for i in range(150):  # 41 of the 46 shingles in [common, x, rare] are in other texts, but no text has 40 of them
+        rare = w(25)
+        rows += [(2 * i, " ".join([*w(9), *common, f"x{i}", *rare, *w(9)])), (2 * i + 1, " ".join([*w(9), *rare, *w(9)]))]
+    near = w(60)
+    rows += [(1000 + j, " ".join([*w(20), *near[: 30 + j], "x", *near[31 + j :], *w(20)])) for j in range(2)]
+    counts, untried = [], passages._untried
+
+    def counted(pairs, tried):
+        out = untried(pairs, tried)
+        counts.append(out.count())
+        return out
+
+    passages._untried = counted
+    try:
+        got = {x["doc_id"] for x in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    finally:
+        passages._untried = untried
+    assert got == {1000, 1001}
+    assert sum(counts) <= 150  # 150 texts with the line
